@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .language import identify, train_language
 from .mixing import mix_sources, word_count
 from .reputation import SUFFIXES, filter_urls
 from .sharding import balanced_shards
+from .toxicity import score_toxicity, train_toxicity
 
 SHARDS = 24
 #: (verdict, host, path)
@@ -40,14 +42,31 @@ def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(modulus: int) -> Column:
+    """crc32 of the decimal doc_id, modulo ``modulus``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = train_toxicity(docs, labels, fold(5) != 0)
+    return score_toxicity(docs, model, ["doc_id"]).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     counted = table(docs.select("doc_id", "source", word_count(F.col("text")).alias("tokens")), "tokens")
     return mix_sources(counted, F.col("tokens"), target_entropy=0.95).drop("tokens")
 
 
+def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train_language(docs, fold(4) != 2)
+    return identify(docs.select("doc_id", "text"), model, ["doc_id"]).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_url_reputation, op4_balanced_shards, op9_temperature_mixing]
+    found = [op3_url_reputation, op4_balanced_shards, op8_compression_toxicity, op9_temperature_mixing, op10_ppm_language]
     return {f.__name__: f for f in found}
 
 
