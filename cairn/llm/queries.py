@@ -10,17 +10,26 @@ from pyspark.sql import functions as F
 from .common import table
 from .language import identify, train_language
 from .mixing import mix_sources, word_count
+from .packing import pack
 from .reputation import SUFFIXES, filter_urls
 from .sharding import balanced_shards
 from .toxicity import score_toxicity, train_toxicity
 
 SHARDS = 24
+TOKENS = 2048
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Hosts below these belong to different owners.
 URL_SUFFIXES = (*SUFFIXES, "example.com", "example.net", "example.org")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file, which is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,6 +51,10 @@ def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), TOKENS)
+
+
 def fold(modulus: int) -> Column:
     """crc32 of the decimal doc_id, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
@@ -66,7 +79,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_url_reputation, op4_balanced_shards, op8_compression_toxicity, op9_temperature_mixing, op10_ppm_language]
+    found = [op3_url_reputation, op4_balanced_shards, op5_genetic_packing, op8_compression_toxicity, op9_temperature_mixing, op10_ppm_language]
     return {f.__name__: f for f in found}
 
 
