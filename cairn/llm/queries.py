@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 from .language import identify, train_language
 from .mixing import mix_sources, word_count
 from .packing import pack
 from .reputation import SUFFIXES, filter_urls
 from .sharding import balanced_shards
 from .toxicity import score_toxicity, train_toxicity
+from .warc import round_trip
 
 SHARDS = 24
 TOKENS = 2048
@@ -34,6 +35,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch(spark, "warc"))
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the toxic label of the document that its url numbers."""
     pages, labels = _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels")
@@ -79,7 +84,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_url_reputation, op4_balanced_shards, op5_genetic_packing, op8_compression_toxicity, op9_temperature_mixing, op10_ppm_language]
+    found = [op1_warc_shards, op3_url_reputation, op4_balanced_shards, op5_genetic_packing, op8_compression_toxicity, op9_temperature_mixing, op10_ppm_language]
     return {f.__name__: f for f in found}
 
 
