@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 from .language import identify, train_language
+from .lattice import link_vectors
 from .mixing import mix_sources, word_count
 from .packing import pack
 from .reputation import SUFFIXES, filter_urls
 from .sharding import balanced_shards
+from .shingles import jaccard_classes
 from .toxicity import score_toxicity, train_toxicity
 from .warc import round_trip
 
@@ -39,6 +41,10 @@ def op1_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch(spark, "warc"))
 
 
+def op2_lattice_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the toxic label of the document that its url numbers."""
     pages, labels = _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels")
@@ -60,6 +66,10 @@ def op5_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), TOKENS)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def fold(modulus: int) -> Column:
     """crc32 of the decimal doc_id, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
@@ -84,7 +94,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_shards, op3_url_reputation, op4_balanced_shards, op5_genetic_packing, op8_compression_toxicity, op9_temperature_mixing, op10_ppm_language]
+    found = [op1_warc_shards, op2_lattice_near_duplicates, op3_url_reputation, op4_balanced_shards, op5_genetic_packing, op6_jaccard_join, op8_compression_toxicity, op9_temperature_mixing, op10_ppm_language]
     return {f.__name__: f for f in found}
 
 
