@@ -11,6 +11,8 @@ from .common import split_join, table
 
 #: Exponents are multiples of 1 / GRID ** ROUNDS, found in ROUNDS jobs that try GRID at a time.
 GRID, ROUNDS = 32, 4
+#: Up to so many rows of sources or blocks are broadcast; more of them are joined by shuffles.
+SMALL = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -93,6 +95,8 @@ def mix_sources(
     totals = table(sized.groupBy("__src").agg(F.sum("mix_tokens").alias("__total")), "totals")
     shares = totals.filter("__total > 0").withColumn("share", F.col("__total") / F.sum("__total").over(Window.partitionBy()))
     n, corpus, top, low = shares.agg(F.count(F.lit(1)), F.sum("__total"), F.max("share"), F.min("share")).first()
+    if n <= SMALL:
+        shares = shares.coalesce(1)
     alpha = exponent(shares, target_entropy, max_repeat, cover) if n > 1 else 1.0
     power = F.pow(F.col("share"), F.lit(alpha))
     norm = shares.agg(F.sum(power)).first()[0] or 1.0
@@ -110,20 +114,26 @@ def mix_sources(
         F.coalesce("mix_weight", F.lit(0.0)).alias("mix_weight"),
         F.greatest(F.lit(1), F.ceil(F.col("__total") / block_tokens)).alias("__blocks"),
     )
-    # sources are few beside documents; the planner broadcasts them while they stay under its own limit
+    sources = table(sources, "sources")
+    many = sources.count() > SMALL
     pick = F.conv(F.substring(_hash(seed, F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
-    dealt = split_join(sized, sources.select("__src", "__blocks"), ["__src"]).withColumn("__block", pick % F.col("__blocks")).drop("__blocks")
+    sized_blocks = sources.select("__src", "__blocks")
+    dealt = split_join(sized, sized_blocks, ["__src"]) if many else sized.join(F.broadcast(sized_blocks), "__src")
+    dealt = dealt.withColumn("__block", pick % F.col("__blocks")).drop("__blocks")
 
     blocks = dealt.groupBy("__src", "__block").agg(F.sum("mix_tokens").alias("__in_block"))
     epochs = F.greatest(F.lit(1), F.ceil(F.col("__quota") / F.greatest(F.col("__total"), F.lit(1)))).cast("int")
-    plan = blocks.join(sources, "__src").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
+    plan = blocks.join(sources if many else F.broadcast(sources), "__src").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
     order = Window.partitionBy("__src", "mix_epoch").orderBy(_hash(seed, F.col("mix_epoch"), F.col("__src"), F.col("__block")), "__block")
     ahead = F.coalesce(F.sum("__in_block").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     plan = plan.withColumn("__start", ahead + F.col("mix_epoch") * F.col("__total")).filter((F.col("__start") < F.col("__quota")) | (F.col("__total") == 0))
+    plan = table(plan.select("__src", "__block", "mix_epoch", "mix_weight", "__start", "__quota", "__total"), "blocks")
+    if plan.count() <= SMALL:
+        plan = F.broadcast(plan)
 
     inner = Window.partitionBy("__src", "__block").orderBy(_hash(seed, "d", F.coalesce(F.col(key).cast("string"), F.lit("null"))), F.col(key))
     before = F.coalesce(F.sum("mix_tokens").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = dealt.withColumn("__before", before).join(plan.select("__src", "__block", "mix_epoch", "mix_weight", "__start", "__quota", "__total"), ["__src", "__block"])
+    drawn = dealt.withColumn("__before", before).join(plan, ["__src", "__block"])
     at = F.col("__start") + F.col("__before")
     return drawn.filter((at < F.col("__quota")) | (F.col("__total") == 0)).select(
         *docs.columns, "mix_tokens", "mix_weight", "mix_epoch", F.coalesce(F.try_divide(at + 0.5, F.col("__quota")), F.lit(0.0)).alias("mix_at")
