@@ -58,3 +58,8 @@ def revenue() -> Column:
 def cents(column: Column) -> Column:
     """Rounded to 2 places: sums of doubles depend on the order in which tasks add them."""
     return F.round(column, 2)
+
+
+def whole_cents(column: Column) -> Column:
+    """Cut off after 2 places."""
+    return F.floor(column * 100).cast("double") / 100

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cents, revenue, safe_divide, year
+from ..functions import cents, revenue, safe_divide, whole_cents, year
 from ..registry import query
 from ..sources import Tables
 
-PS = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, sum(l_quantity) AS ps_availqty, min(l_extendedprice / nullif(l_quantity, 0)) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey)"
+PS = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, sum(l_quantity) AS ps_availqty, floor(min(l_extendedprice / nullif(l_quantity, 0)) * 100) / 100 AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey)"
 
 
 def between(column: str, start: str, end: str) -> Column:
@@ -179,20 +179,20 @@ def q08(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH ps AS {PS}
-SELECT n_name, CAST(extract(year FROM o_orderdate) AS BIGINT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity), 2) AS sum_profit
+SELECT n_name, CAST(extract(year FROM o_orderdate) AS BIGINT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity), 4) AS sum_profit
 FROM part, supplier, lineitem, ps, orders, nation
 WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey
   AND s_nationkey = n_nationkey AND p_name LIKE '%gizmo%'
 GROUP BY n_name, o_year ORDER BY n_name, o_year DESC""")
 def q09(t: Tables) -> DataFrame:
     # the cost of a (part, supplier) is a minimum over these very rows, so a window takes it along
-    cost = F.min(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))).over(Window.partitionBy("l_partkey", "l_suppkey"))
+    cost = whole_cents(F.min(safe_divide(F.col("l_extendedprice"), F.col("l_quantity"))).over(Window.partitionBy("l_partkey", "l_suppkey")))
     lines = t.lineitem.join(t.part.filter("p_name LIKE '%gizmo%'"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").withColumn("ps_supplycost", cost)
     return (
         lines.join(t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("n_name", year(F.col("o_orderdate")).alias("o_year"))
-        .agg(total(revenue() - F.col("ps_supplycost") * F.col("l_quantity")).alias("sum_profit"))
+        .agg(F.round(F.sum(revenue() - F.col("ps_supplycost") * F.col("l_quantity")), 4).alias("sum_profit"))
         .orderBy("n_name", F.desc("o_year"))
     )
 
@@ -217,7 +217,7 @@ def q10(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH ps AS {PS}
-SELECT ps_partkey, round(sum(ps_supplycost * ps_availqty), 4) AS stock_value FROM ps, supplier, nation
+SELECT ps_partkey, round(sum(ps_supplycost * ps_availqty), 2) AS stock_value FROM ps, supplier, nation
 WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 1
 GROUP BY ps_partkey HAVING sum(ps_supplycost * ps_availqty) >
   (SELECT sum(ps_supplycost * ps_availqty) * 0.0001 FROM ps, supplier, nation WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 1)
@@ -226,10 +226,10 @@ def q11(t: Tables) -> DataFrame:
     suppliers = t.supplier.join(t.nation.filter("n_regionkey = 1"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
     # the suppliers are chosen before the stock is summed: fewer rows are shuffled
     lines = t.lineitem.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
-    stock = lines.groupBy("l_partkey", "l_suppkey").agg((F.min(F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))) * F.sum("l_quantity")).alias("v"))
+    stock = lines.groupBy("l_partkey", "l_suppkey").agg((whole_cents(F.min(safe_divide(F.col("l_extendedprice"), F.col("l_quantity")))) * F.sum("l_quantity")).alias("v"))
     parts = stock.groupBy(F.col("l_partkey").alias("ps_partkey")).agg(F.sum("v").alias("v"))
     floor = parts.agg((F.sum("v") * 0.0001).alias("floor"))  # one row
-    return parts.join(F.broadcast(floor), F.col("v") > F.col("floor")).select("ps_partkey", F.round("v", 4).alias("stock_value")).orderBy(F.desc("stock_value"), "ps_partkey")
+    return parts.join(F.broadcast(floor), F.col("v") > F.col("floor")).select("ps_partkey", cents(F.col("v")).alias("stock_value")).orderBy(F.desc("stock_value"), "ps_partkey")
 
 
 @query("""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import safe_divide, whole_cents
 from .delimited import read_pipe
 
 
@@ -31,9 +33,7 @@ class Tables:
     @property
     def partsupp(self) -> DataFrame:
         """What each supplier has delivered of each part, which stands in for stock and cost."""
-        from pyspark.sql import functions as F
-
-        unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
+        unit = safe_divide(F.col("l_extendedprice"), F.col("l_quantity"))
         return self.lineitem.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(
-            F.sum("l_quantity").alias("ps_availqty"), F.min(unit).alias("ps_supplycost")
+            F.sum("l_quantity").alias("ps_availqty"), whole_cents(F.min(unit)).alias("ps_supplycost")
         )
