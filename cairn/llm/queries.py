@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 from .language import identify, train_language
 from .lattice import link_vectors
+from .metric_tree import top_k
 from .mixing import mix_sources, word_count
+from .oracle import SQL
 from .packing import pack
 from .reputation import SUFFIXES, filter_urls
 from .sharding import balanced_shards
@@ -70,6 +72,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_metric_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def fold(modulus: int) -> Column:
     """crc32 of the decimal doc_id, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
@@ -84,7 +90,8 @@ def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     counted = table(docs.select("doc_id", "source", word_count(F.col("text")).alias("tokens")), "tokens")
-    return mix_sources(counted, F.col("tokens"), target_entropy=0.95).drop("tokens")
+    mixed = mix_sources(counted, F.col("tokens"), target_entropy=0.95).drop("tokens")
+    return mixed.withColumns({c: F.round(c, 9) for c in ("mix_weight", "mix_at")})
 
 
 def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +101,9 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_warc_shards, op2_lattice_near_duplicates, op3_url_reputation, op4_balanced_shards, op5_genetic_packing, op6_jaccard_join, op8_compression_toxicity, op9_temperature_mixing, op10_ppm_language]
+    found = [op1_warc_shards, op2_lattice_near_duplicates, op3_url_reputation, op4_balanced_shards, op5_genetic_packing, op6_jaccard_join, op7_metric_tree_top_k, op8_compression_toxicity, op9_temperature_mixing, op10_ppm_language]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
