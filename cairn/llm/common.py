@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the setting is absent and Spark runs inside this very process (``local[...]``, as
     in tests) a temporary folder takes its place; on a cluster its absence is an error.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.split("[")[0] != "local":
@@ -49,13 +49,20 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     split; the derived key makes each side bring an exchange of its own.
     """
     key = "__join_key"
+    if len(on) == 1 and all(df.schema[on[0]].dataType.simpleString() == "bigint" for df in (left, right)):
+        turn = lambda c: F.bitwise_not(F.col(c))  # noqa: E731  of a number the key itself will do, turned over and back
+        turned = lambda df: df.withColumn(key, turn(on[0])).drop(on[0])
+        joined = turned(left).join(turned(right), key, how).withColumn(on[0], turn(key)).drop(key)
+        rest = [c for c in right.columns if c != on[0]] if how not in ("left_semi", "left_anti") else []
+        return joined.select(*on, *[c for c in left.columns if c != on[0]], *rest)
     hashed = lambda df: df.withColumn(key, F.xxhash64(*[F.col(c) for c in on]))
     return hashed(left).join(hashed(right), [key, *on], how).drop(key)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch of long texts can hold in a Python worker."""
+    """Bound what one Arrow batch of long texts can hold in a Python worker, in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -104,7 +104,7 @@ def link_vectors(
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), keys.shape[1])), pa.array(keys.ravel())], names=["id", "key"])
 
     small_batches(spark, 2048)
-    tasks = blocks(classes.select("id", "vec").mapInArrow(cells, "id long, key long"), chunk)
+    tasks = blocks(table(classes.select("id", "vec").mapInArrow(cells, "id long, key long"), "cells"), chunk)
 
     def near(task: pa.Table) -> np.ndarray:
         x = unit(task)

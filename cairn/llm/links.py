@@ -19,12 +19,11 @@ from .common import split_join, table
 
 
 def blocks(keys: DataFrame, chunk: int) -> DataFrame:
-    """(task, side, id) rows from (id, key) rows: tasks of at most two chunks of about ``chunk`` items.
+    """(task, side, id) rows from (id, key) rows, read twice: tasks of at most two chunks of about ``chunk`` items.
 
     Side 0 and 1 are different chunks, whose pairs run across; a task with side 0 alone is a
     chunk against itself. Items that share no key with another one are in no task.
     """
-    keys = table(keys, "keys")
     buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = table(split_join(keys, buckets, ["key"]), "shared")
     homes = shared.groupBy("id").agg(F.min("leader").alias("home"))
@@ -75,7 +74,7 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 
 
 def verify(rows: DataFrame, linked: Callable[[pa.Table], np.ndarray]) -> DataFrame:
-    """(id, links, root) of the items that have a link in a task.
+    """(id, links, root) of the items that have a link in a task; rows of the same id and task are one item.
 
     ``rows`` has task, side, id, weight and what ``linked`` needs to say, for a task, which of its
     items link (a symmetric boolean matrix). ``links`` sums the weights of the linked items,
@@ -84,7 +83,7 @@ def verify(rows: DataFrame, linked: Callable[[pa.Table], np.ndarray]) -> DataFra
 
     def work(batches):
         for t in _tasks(batches):
-            t = t.take(np.argsort(t.column("id").to_numpy(), kind="stable"))
+            t = t.take(np.unique(t.column("id").to_numpy(), return_index=True)[1])  # an item that came twice counts once
             side, ids, weight = (t.column(c).to_numpy() for c in ("side", "id", "weight"))
             pairs = linked(t)
             np.fill_diagonal(pairs, False)

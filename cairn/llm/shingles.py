@@ -15,8 +15,8 @@ from .links import blocks, components, verify
 
 WORD = re.compile(r"[^\W_]+")
 CACHE = 300_000
-#: Ids of sought documents are broadcast up to so many, else joined by a shuffle.
-SMALL = 500_000
+#: Keys of sought documents are broadcast up to so many, else joined by a shuffle.
+SMALL = 1_000_000
 
 
 def choose_bands(threshold: float, recall: float, most_rows: int = 12) -> tuple[int, int]:
@@ -141,11 +141,11 @@ def jaccard_classes(
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "name", "bands"])
 
     sketches = table(rowed.mapInArrow(sketch, f"key {key_type}, name binary, bands array<long>"), "sketches")
-    # the smallest key of a class, and of its rows one that is there for certain: its text is read again
     classes = sketches.filter("name is not null").groupBy("name").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
     classes = table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     tasks = table(blocks(classes.select("id", F.explode("bands").alias("key")), chunk), "blocks")
 
+    # the text of a class is read again at its smallest key; other texts of that key differ in name
     sought = split_join(classes.select("id", "name", "first", "weight"), tasks.select("id").distinct(), ["id"])
     sought = table(sought, "sought")
     wanted = sought.select(F.col("first").alias("k")).distinct()
@@ -153,14 +153,21 @@ def jaccard_classes(
     texts = rowed.join(wanted, rowed.key.eqNullSafe(wanted["k"]), "left_semi")
 
     def read(batches):
-        s = Sketcher(n, bands, rows)
+        s, seen = Sketcher(n, bands, rows), set()
         for batch in batches:
-            sets = [s.grams(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(g) for g in sets], pa.binary()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["name", "grams"])
+            names, sets = [], []
+            for t in batch.column("text").to_pylist():
+                g = s.grams(t)
+                name = _name(g)
+                if name not in seen:  # rows that repeat a key and its text
+                    seen.add(name)
+                    names.append(name)
+                    sets.append(g.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], names=["name", "grams"])
 
     sets = texts.select("text").mapInArrow(read, "name binary, grams binary")
-    sets = split_join(sets, sought.select("name", "id", "weight"), ["name"]).dropDuplicates(["id"]).select("id", "weight", "grams")
-    found = table(verify(split_join(tasks, sets, ["id"]), lambda t: overlaps(t, threshold)), "links")
+    named = split_join(tasks, sought.select("id", "name", "weight"), ["id"])
+    found = table(verify(split_join(named, sets, ["name"]).drop("name"), lambda t: overlaps(t, threshold)), "links")
 
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found, "id", "root")
