@@ -68,7 +68,7 @@ def train_language(docs: DataFrame, use: Column | None = None, key: str = "doc_i
     rows = docs.withColumn("__use", F.lit(True) if use is None else use).filter("__use and lang is not null and text is not null")
     n = rows.count()
     if n > max_rows:  # the share of the hash range that holds so many
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
+        rows = rows.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 60)) < int(max_rows / n * (1 << 60)))
     small_batches(docs.sparkSession)
     grams = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
     got = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
