@@ -69,6 +69,7 @@ def mix_sources(
     cover: bool = False,
     budget: int | None = None,
     block_tokens: int = 1 << 18,
+    block_rows: int = 1 << 16,
     seed: int = 7,
 ) -> DataFrame:
     """Draw documents so that the sources' token shares become their tempered weights.
@@ -78,6 +79,7 @@ def mix_sources(
     as makes the least repeated source go in exactly once, so that no document is lost. A quota
     is filled epoch by epoch; in each epoch the source's blocks, to which documents belong by
     hash, come in a permuted order of that epoch, the last one only as far as the quota reaches.
+    A block holds about ``block_tokens`` tokens and ``block_rows`` documents at most.
 
     Returns the columns of ``docs`` and ``mix_tokens``, ``mix_weight``, ``mix_epoch`` (int, from
     0), ``mix_at`` (double in [0, 1): place in the mixed stream; sorting by it interleaves the
@@ -92,7 +94,7 @@ def mix_sources(
     src = F.coalesce(F.concat(F.lit("s:"), F.col(source)), F.lit("n"))
     count = F.greatest(F.coalesce(word_count(F.col("text")) if tokens is None else tokens, F.lit(0)), F.lit(0)).cast("long")
     sized = docs.withColumn("__src", src).withColumn("mix_tokens", count)
-    totals = table(sized.groupBy("__src").agg(F.sum("mix_tokens").alias("__total")), "totals")
+    totals = table(sized.groupBy("__src").agg(F.sum("mix_tokens").alias("__total"), F.count(F.lit(1)).alias("__rows")), "totals")
     shares = totals.filter("__total > 0").withColumn("share", F.col("__total") / F.sum("__total").over(Window.partitionBy()))
     n, corpus, top, low = shares.agg(F.count(F.lit(1)), F.sum("__total"), F.max("share"), F.min("share")).first()
     if n <= SMALL:
@@ -112,7 +114,7 @@ def mix_sources(
         "__total",
         F.coalesce("__quota", F.lit(0)).alias("__quota"),
         F.coalesce("mix_weight", F.lit(0.0)).alias("mix_weight"),
-        F.greatest(F.lit(1), F.ceil(F.col("__total") / block_tokens)).alias("__blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("__total") / block_tokens), F.ceil(F.col("__rows") / block_rows)).alias("__blocks"),
     )
     sources = table(sources, "sources")
     many = sources.count() > SMALL

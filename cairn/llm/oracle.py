@@ -99,12 +99,12 @@ _MD5 = "('0x' || substr(md5('7|' || doc_id), 1, 8))::BIGINT"
 OP9 = f"""
 WITH t AS (SELECT doc_id, source, 's:' || source AS src, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END::BIGINT AS tokens FROM documents),
   u AS (SELECT * REPLACE (coalesce(src, 'n') AS src) FROM t),
-  totals AS (SELECT src, sum(tokens)::BIGINT AS total FROM u GROUP BY src),
+  totals AS (SELECT src, sum(tokens)::BIGINT AS total, count(*) AS n FROM u GROUP BY src),
   shares AS (SELECT src, total, total / sum(total) OVER () AS share FROM totals WHERE total > 0),
   tries AS (SELECT k, sum(exp(k / 1048576.0::DOUBLE * ln(share))) AS s, sum(exp(k / 1048576.0::DOUBLE * ln(share)) * ln(share)) AS w, count(*) AS n FROM shares, range(0, 1048576) r(k) GROUP BY k),
   alpha AS (SELECT CASE WHEN max(n) IS NULL OR max(n) = 1 THEN 1.0 ELSE max(CASE WHEN k = 0 OR ln(s) - k / 1048576.0::DOUBLE * w / s >= 0.95 * ln(n) - 1e-12 THEN k END) / 1048576.0::DOUBLE END AS a FROM tries),
   weights AS (SELECT src, pow(share, a) / sum(pow(share, a)) OVER () AS weight, round(pow(share, a) / sum(pow(share, a)) OVER () * sum(total) OVER ())::BIGINT AS quota FROM shares, alpha),
-  sources AS (SELECT totals.src, total, coalesce(quota, 0) AS quota, coalesce(weight, 0) AS weight, greatest(1, ceil(total / 262144))::BIGINT AS blocks FROM totals LEFT JOIN weights ON totals.src = weights.src),
+  sources AS (SELECT totals.src, totals.total, coalesce(quota, 0) AS quota, coalesce(weight, 0) AS weight, greatest(1, ceil(totals.total / 262144), ceil(n / 65536))::BIGINT AS blocks FROM totals LEFT JOIN weights ON totals.src = weights.src),
   dealt AS (SELECT u.*, {_MD5} % blocks AS block FROM u JOIN sources USING (src)),
   sums AS (SELECT src, block, sum(tokens)::BIGINT AS size FROM dealt GROUP BY src, block),
   plan AS (SELECT sums.*, total, quota, weight, unnest(range(0, greatest(1, ceil(quota / greatest(total, 1)))::BIGINT)) AS epoch FROM sums JOIN sources USING (src)),
