@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import urllib.parse
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, split_join, table
+from .common import partitions, small_batches, split_join, table
 from .sharding import balanced_shards
 
 #: Capture time is not among the inputs, so all records carry the same one.
@@ -94,6 +95,11 @@ class _Roll:
             self.part, self.out = self.part + 1, None
 
 
+def _place(key: object, digest: str) -> tuple:
+    """Sorts as Spark sorts (key, digest): null keys first."""
+    return (key is not None, key if key is not None else 0, digest)
+
+
 def write_warc(
     pages: DataFrame, folder: str, key: str = "page_id", min_revisit_bytes: int = 0, shard_bytes: int = 256 << 20, min_shards: int = 64, roll_bytes: int = 32 << 20
 ) -> DataFrame:
@@ -118,28 +124,42 @@ def write_warc(
     facts = facts.withColumn("stored", F.col("rows") * F.when(F.col("revisit"), 1).otherwise(F.col("size") + 1))
     total = facts.agg(F.coalesce(F.sum("stored"), F.lit(0))).first()[0]
     sharded = balanced_shards(facts, "stored", ["key", "digest"], max(min_shards, -(-total // shard_bytes)))
-
-    plan = sharded.select(F.xxhash64("key", "digest").alias("h"), F.col("key").alias("k"), F.col("digest").alias("d"), "size", "first", "revisit", "shard", "slot")
-    full = rows.withColumn("digest", digest)
-    records = full.join(plan, (F.xxhash64("key", "digest") == plan.h) & F.col("key").eqNullSafe(plan.k) & (F.col("digest") == plan.d))
-    records = records.select(F.col("key").cast("string").alias("key"), "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "digest", "size", F.col("first").cast("string").alias("first"), "revisit", "shard", "slot")
+    plan = table(sharded.select("key", "digest", "size", F.col("first").cast("string").alias("first"), "revisit", "shard"), "plan")
+    # where each shard begins: a row per shard, which payload rows are placed by
+    starts = plan.groupBy("shard").agg(F.min(F.struct(F.col("key").isNotNull().alias("some"), "key", "digest")).alias("at")).orderBy("shard").collect()
+    bounds = [_place(r["at"]["key"], r["at"]["digest"]) for r in starts]
+    shards = [r["shard"] for r in starts]
     small_batches(spark, 128)
+    kind = pages.schema[key].dataType.simpleString()
+
+    def place(batches):
+        for batch in batches:
+            of = [bisect.bisect_right(bounds, _place(k, d)) - 1 for k, d in zip(batch.column("key").to_pylist(), batch.column("digest").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([shards[i] for i in of], pa.int32())], names=[*batch.schema.names, "shard"])
+
+    placed = rows.select("key", "url", "payload", digest.alias("digest")).mapInArrow(place, f"key {kind}, url string, payload binary, digest string, shard int")
+    both = plan.withColumn("kind", F.lit(0)).unionByName(placed.withColumn("kind", F.lit(1)), allowMissingColumns=True).withColumn("name", F.col("key").cast("string"))
+    # of each (key, digest) the planned fact comes first, then its pages: payloads are shuffled once
+    records = both.repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"), "digest", "kind", "url")
 
     def work(batches):
-        roll, done = None, []
+        roll, done, fact = None, [], None
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in batch.select(["kind", "name", "url", "payload", "digest", "size", "first", "revisit", "shard"]).to_pylist():
+                if r["kind"] == 0:
+                    fact = r
+                    continue
                 if roll is None or roll.shard != r["shard"]:
                     done += [] if roll is None else roll.close()
                     roll = _Roll(folder, r["shard"], roll_bytes)
                 sha = base64.b32encode(bytes.fromhex(r["digest"])).decode()
-                done += roll.add(page_record(r["key"], r["url"], r["payload"] or b"", r["size"], sha, r["first"], r["revisit"]))
+                done += roll.add(page_record(r["name"], r["url"], r["payload"], fact["size"], sha, fact["first"], fact["revisit"]))
         done += [] if roll is None else roll.close()
         names = [n.split()[0] for n in MANIFEST.split(", ")]
         types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(types)], names=names)
 
-    manifest = records.repartition("shard").sortWithinPartitions("shard", "slot", "url").mapInArrow(work, MANIFEST)
+    manifest = records.mapInArrow(work, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -205,7 +225,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, with_payload: bool = Fal
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return manifest.select("path").repartition("path").mapInArrow(work, schema)
+    return manifest.select("path").repartition(partitions(spark), "path").mapInArrow(work, schema)
 
 
 def round_trip(pages: DataFrame, folder: str, key: str = "page_id", **options) -> DataFrame:
