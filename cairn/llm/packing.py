@@ -13,51 +13,75 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-CACHE = 200_000
+#: Cached words of a worker.
+CACHE = 1_000_000
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼½¾"
 _SPACE = "\t-\r \x85\xa0"
 #: The vocabulary's own split, over lower-cased text of the first 256 code points.
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
+#: White space for Python alone.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, with a bounded cache of words.
+class Encoder(dict):
+    """Token ids as little-endian unsigned 32-bit bytes; a bounded cache of words that fills itself.
 
-    The tokenizer never joins across white space, so ids of a text are those of its parts. Text
-    of the first 256 code points is lower-cased and split as the tokenizer does it, which makes
-    the cache hit more often; other text is cut at spaces and line ends. A text that may hold a
-    special token's name goes to the tokenizer as a whole.
+    The tokenizer never joins across white space, so ids of a text are those of its words. A word
+    of the first 256 code points, lower-cased, is split as the tokenizer does it, and each piece
+    goes to the tokenizer's model alone, which saves the rest of its work. Other words go to the
+    whole tokenizer. A text that may hold a special token's name goes there in one piece.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.model, self.spell = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = self.spell(piece)[0][0]  # its bytes in the model's own alphabet
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(piece)])
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            ids = self._piece(word.lower())
+        else:
+            try:
+                word.encode("latin-1")
+            except UnicodeEncodeError:
+                ids = self._ids(word)
+            else:
+                ids = b"".join(map(self._piece, PIECE.findall(word.lower())))
+        self[word] = ids
+        return ids
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text:
+        if "<|" in text or SEPARATORS.search(text):
             return self._ids(text)
-        try:
-            text.encode("latin-1")
-            parts = PIECE.findall(text.lower())
-        except UnicodeEncodeError:
-            parts = text.replace("\n", " ").split(" ")
-        words, out = self.words, []
-        if len(words) > CACHE:
-            words.clear()
-        for p in parts:
-            ids = words.get(p)
-            if ids is None:
-                ids = words[p] = self._ids(p)
-            out.append(ids)
-        return b"".join(out)
+        if len(self) > CACHE:
+            self.clear()
+        # beyond 256 code points case can depend on what stands around
+        words = text.lower().split() if text.isascii() or max(text) < "\u0100" else text.replace("\n", " ").split(" ")
+        return b"".join(map(self.__getitem__, words))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker, so that tasks share its cache."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -72,11 +96,11 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, ke
     end, step = np.array([end_id], "<u4").tobytes(), capacity * 4
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for batch in batches:
             of, rows = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = encoder.encode(text) + end
+                ids = encode(text) + end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     of.append(i)
