@@ -140,7 +140,7 @@ def write_warc(
     placed = rows.select("key", "url", "payload", digest.alias("digest")).mapInArrow(place, f"key {kind}, url string, payload binary, digest string, shard int")
     both = plan.withColumn("kind", F.lit(0)).unionByName(placed.withColumn("kind", F.lit(1)), allowMissingColumns=True).withColumn("name", F.col("key").cast("string"))
     # of each (key, digest) the planned fact comes first, then its pages: payloads are shuffled once
-    records = both.repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"), "digest", "kind", "url")
+    records = both.repartition(max(partitions(spark), len(shards)), "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"), "digest", "kind", "url")
 
     def work(batches):
         roll, done, fact = None, [], None
@@ -225,7 +225,8 @@ def read_warc(spark: SparkSession, manifest: DataFrame, with_payload: bool = Fal
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return manifest.select("path").repartition(partitions(spark), "path").mapInArrow(work, schema)
+    # one row a file, so that a task has about one
+    return manifest.select("path").repartition(max(partitions(spark), manifest.count()), "path").mapInArrow(work, schema)
 
 
 def round_trip(pages: DataFrame, folder: str, key: str = "page_id", **options) -> DataFrame:
