@@ -46,27 +46,28 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def _strength(children: DataFrame) -> float:
+def _strength(children: DataFrame, labelled: int) -> float:
     """Strength of the beta priors of one level, by the method of moments over its children.
 
     A child has n labelled pages, k bad ones and the shrunk rate m of its parent. With priors of
     mean m and strength s, the n-weighted squared deviations from m sum to e + (v - e) / (s + 1)
     on average, where e sums m (1 - m) and v sums n m (1 - m). Clamped to 1 ... 1000; without
-    spread beyond binomial noise it is 1000.
+    spread beyond binomial noise it is 1000. No prior weighs more than all ``labelled`` pages
+    that it is learned from, so without labels nothing is certain and nothing is blocked.
     """
     noise = F.col("m") * (1 - F.col("m"))
     r = children.filter("n > 0").agg(F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("m"), 2)).alias("q"), F.sum(noise).alias("e"), F.sum(F.col("n") * noise).alias("v")).first()
-    if r["q"] is None or r["q"] <= r["e"]:
-        return 1000.0
-    return max(1.0, min(1000.0, (r["v"] - r["e"]) / (r["q"] - r["e"]) - 1))
+    found = (r["v"] - r["e"]) / (r["q"] - r["e"]) - 1 if r["q"] is not None and r["q"] > r["e"] else 1000.0
+    return max(1.0, min(1000.0, float(labelled), found))
 
 
 def host_reputation(hosts: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Posterior (a, b) of the bad-page rate of each host, from ``hosts`` (host, n labelled, k bad).
 
     Suffix rates are shrunk to the corpus rate, domains to their suffix, hosts to their domain,
-    each level with a beta prior whose strength that level's own spread decides. Hosts without
-    labels keep the rate of what is above them. Only three sums a level come to the driver.
+    each level with a beta prior whose strength that level's own spread decides, and that is
+    weaker where the parent's rate rests on few pages itself. Hosts without labels keep the rate
+    of what is above them, and its uncertainty. Only three sums a level come to the driver.
     """
     suffix, domain = suffix_and_domain(F.col("host"), suffixes)
     h = table(hosts.select("host", suffix.alias("suffix"), domain.alias("domain"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k")), "hosts")
@@ -74,17 +75,20 @@ def host_reputation(hosts: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> D
     s = d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     n, k = h.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
 
-    def shrunk(children: DataFrame) -> Column:
-        strength = F.lit(_strength(children))
-        return (strength * F.col("m") + F.col("k")) / (strength + F.col("n"))
+    def prior(children: DataFrame) -> Column:
+        """1 / weight is 1 / strength of the level and 1 / pages (and prior) behind the parent's rate."""
+        strength = F.lit(_strength(children, n))
+        return strength * F.col("p") / (strength + F.col("p"))
 
-    s = s.withColumn("m", F.lit((k + 1) / (n + 2)))
-    s = s.select("suffix", shrunk(s).alias("m"))
-    d = split_join(d, s, ["suffix"])
-    d = d.select("suffix", "domain", shrunk(d).alias("m"))
+    def shrunk(children: DataFrame, *names: str) -> DataFrame:
+        t = prior(children)
+        return children.select(*names, ((t * F.col("m") + F.col("k")) / (t + F.col("n"))).alias("m"), (t + F.col("n")).alias("p"))
+
+    s = shrunk(s.withColumns({"m": F.lit((k + 1) / (n + 2)), "p": F.lit(n + 2.0)}), "suffix")
+    d = shrunk(split_join(d, s, ["suffix"]), "suffix", "domain")
     h = split_join(h, d, ["suffix", "domain"])
-    strength = F.lit(_strength(h))
-    return h.select("host", "domain", "suffix", "n", "k", (strength * F.col("m") + F.col("k")).alias("a"), (strength * (1 - F.col("m")) + F.col("n") - F.col("k")).alias("b"))
+    t = prior(h)
+    return h.select("host", "domain", "suffix", "n", "k", (t * F.col("m") + F.col("k")).alias("a"), (t * (1 - F.col("m")) + F.col("n") - F.col("k")).alias("b"))
 
 
 def filter_urls(
