@@ -17,8 +17,7 @@ SMALL = 50_000
 
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for null or blank."""
-    trimmed = F.trim(F.coalesce(text, F.lit("")))
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, "\\s+"))).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")).cast("long")
 
 
 def _hash(*parts: Column | str | int) -> Column:

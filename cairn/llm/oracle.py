@@ -29,7 +29,7 @@ WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
 SELECT ids.id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, ids.id = root AS kept
 FROM ids JOIN roots USING (id) LEFT JOIN degree USING (id)"""
 
-_STRENGTH = """(SELECT CASE WHEN q IS NULL OR q <= e THEN 1000.0 ELSE greatest(1.0, least(1000.0, (v - e) / (q - e) - 1)) END FROM
+_STRENGTH = """(SELECT greatest(1.0, least(1000.0, (SELECT sum(n) FROM h), CASE WHEN q > e THEN (v - e) / (q - e) - 1 ELSE 1000.0 END)) FROM
     (SELECT sum(n * pow(k / n - m, 2)) AS q, sum(m * (1 - m)) AS e, sum(n * m * (1 - m)) AS v FROM {} WHERE n > 0))"""
 
 OP3 = f"""
@@ -42,13 +42,12 @@ WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url,
   sized AS (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'co.nz', 'com.br', 'co.in', 'example.com', 'example.net', 'example.org') THEN 2 ELSE 1 END AS s FROM parts),
   h AS (SELECT host, array_to_string(l[-s:], '.') AS suffix, array_to_string(l[-(s + 1):], '.') AS domain, n, k FROM sized),
   d0 AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY suffix, domain),
-  s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM h) AS m FROM h GROUP BY suffix),
-  s1 AS (SELECT suffix, ({_STRENGTH.format("s0")} * m + k) / ({_STRENGTH.format("s0")} + n) AS m FROM s0),
-  d1 AS (SELECT d0.*, m FROM d0 JOIN s1 USING (suffix)),
-  d2 AS (SELECT suffix, domain, ({_STRENGTH.format("d1")} * m + k) / ({_STRENGTH.format("d1")} + n) AS m FROM d1),
-  h1 AS (SELECT h.*, m FROM h JOIN d2 USING (suffix, domain)),
-  st AS (SELECT {_STRENGTH.format("h1")} AS t),
-  ab AS (SELECT host, t * m + k AS a, t * (1 - m) + n - k AS b FROM h1, st),
+  s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM h) AS m, (SELECT sum(n) + 2 FROM h) AS p FROM h GROUP BY suffix),
+  s1 AS (SELECT suffix, (t * m + k) / (t + n) AS m, t + n AS p FROM (SELECT *, s * p / (s + p) AS t FROM s0, (SELECT {_STRENGTH.format("s0")} AS s))),
+  d1 AS (SELECT d0.*, m, p FROM d0 JOIN s1 USING (suffix)),
+  d2 AS (SELECT suffix, domain, (t * m + k) / (t + n) AS m, t + n AS p FROM (SELECT *, s * p / (s + p) AS t FROM d1, (SELECT {_STRENGTH.format("d1")} AS s))),
+  h1 AS (SELECT h.*, m, p FROM h JOIN d2 USING (suffix, domain)),
+  ab AS (SELECT host, t * m + k AS a, t * (1 - m) + n - k AS b FROM (SELECT *, s * p / (s + p) AS t FROM h1, (SELECT {_STRENGTH.format("h1")} AS s))),
   bound AS (SELECT host, a / (a + b) AS mean, mean - 2.326 * sqrt(mean * (1 - mean) / (a + b + 1)) AS low FROM ab),
   ruled AS (SELECT page_id, host, path, CASE
       WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -97,7 +96,7 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 _MD5 = "('0x' || substr(md5('7|' || doc_id), 1, 8))::BIGINT"
 
 OP9 = f"""
-WITH t AS (SELECT doc_id, source, 's:' || source AS src, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END::BIGINT AS tokens FROM documents),
+WITH t AS (SELECT doc_id, source, 's:' || source AS src, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))::BIGINT AS tokens FROM documents),
   u AS (SELECT * REPLACE (coalesce(src, 'n') AS src) FROM t),
   totals AS (SELECT src, sum(tokens)::BIGINT AS total, count(*) AS n FROM u GROUP BY src),
   shares AS (SELECT src, total, total / sum(total) OVER () AS share FROM totals WHERE total > 0),

@@ -16,9 +16,11 @@ def balanced_shards(df: DataFrame, size: str, order: list[str], shards: int) ->
     its target by one row's size at most. Totals of the range partitions, one row each, are the
     only thing that is broadcast. Null or negative sizes count as 0; rows whose order columns are
     null come first; rows equal in the order columns are kept apart by a running number, so a
-    third of all rows may share one key. An empty input gives an empty result.
+    third of all rows may share one key. Columns of ``df`` named as the results give way to them.
+    An empty input gives an empty result.
     """
     spark = df.sparkSession
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
     parts, tie = partitions(spark), "__tie"
     weight = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
     numbered = df.withColumn("__w", weight).withColumn(tie, F.monotonically_increasing_id())
@@ -37,9 +39,9 @@ def balanced_shards(df: DataFrame, size: str, order: list[str], shards: int) ->
     middle = (F.col("__bytes_ahead") + F.sum("__w").over(running)) * 2 - F.col("__w")
     cut = F.floor(F.try_divide(middle * F.lit(float(shards)), F.col("__total") * 2))
     rows = placed.join(F.broadcast(offsets), "__part").select(
-        *df.columns,
+        *kept,
         F.least(F.coalesce(cut, F.lit(0)), F.lit(shards - 1)).cast("int").alias("shard"),
         (F.col("__rows_ahead") + F.row_number().over(inside) - 1).alias("__row"),
     )
     firsts = rows.groupBy("shard").agg(F.min("__row").alias("__first"))
-    return rows.join(F.broadcast(firsts), "shard").select(*df.columns, "shard", (F.col("__row") - F.col("__first")).cast("long").alias("slot"))
+    return rows.join(F.broadcast(firsts), "shard").select(*kept, "shard", (F.col("__row") - F.col("__first")).cast("long").alias("slot"))
