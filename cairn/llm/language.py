@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,22 +128,35 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
     return LanguageModel(languages, symbol, context, bits)
 
 
+def _slices(raws: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(text numbers, stretches) of about CHUNK bytes together; each begins with the ORDER bytes before it."""
+    of, parts, held = [], [], 0
+    for i, raw in enumerate(raws):
+        for at in range(0, max(1, len(raw) - ORDER), CHUNK):
+            of.append(i)
+            parts.append(raw[at : at + CHUNK + ORDER])
+            held += len(parts[-1])
+            if held >= CHUNK:
+                yield of, parts
+                of, parts, held = [], [], 0
+    if parts:
+        yield of, parts
+
+
 def code_lengths(texts: list[str | None], model: LanguageModel) -> np.ndarray:
-    """Bits of each whole text under each language; long inputs are worked through in chunks."""
-    raws = [_raw(t) for t in texts]
-    size = model.bits.shape[1]
-    total = np.zeros((len(raws), len(model.languages)))
-    lens = np.array([len(r) for r in raws])
-    data = model.symbol[np.frombuffer(b"".join(raws), np.uint8)]
-    doc = np.repeat(np.arange(len(raws)), lens)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(lens) - lens, lens)
-    flat = model.bits.reshape(-1, len(model.languages))
-    for at in range(0, len(data), CHUNK):
-        to = at + np.flatnonzero(place[at : at + CHUNK] >= ORDER)
+    """Bits of each whole text under each language; long inputs are worked through in slices."""
+    size, flat = model.bits.shape[1], model.bits.reshape(-1, len(model.languages))
+    total = np.zeros((len(texts), len(model.languages)))
+    for of, parts in _slices([_raw(t) for t in texts]):
+        lens = np.array([len(p) for p in parts])
+        data = model.symbol[np.frombuffer(b"".join(parts), np.uint8)]
+        place = np.arange(len(data)) - np.repeat(np.cumsum(lens) - lens, lens)
+        to = np.flatnonzero(place >= ORDER)
+        text = np.repeat(np.array(of), lens)[to]
         row = model.context[(data[to - 3] * size + data[to - 2]) * size + data[to - 1]].astype(np.int64)
         cost = flat[row * size + data[to]]
         for j in range(len(model.languages)):
-            total[:, j] += np.bincount(doc[to], cost[:, j], len(raws))
+            total[:, j] += np.bincount(text, cost[:, j], len(texts))
     return total
 
 
