@@ -62,7 +62,7 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound what one Arrow batch of long texts can hold in a Python worker, in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def partitions(spark: SparkSession) -> int:

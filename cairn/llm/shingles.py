@@ -14,7 +14,7 @@ from .common import small_batches, split_join, table
 from .links import blocks, components, verify
 
 WORD = re.compile(r"[^\W_]+")
-CACHE = 300_000
+CACHE = 200_000
 #: Keys of sought documents are broadcast up to so many, else joined by a shuffle.
 SMALL = 1_000_000
 

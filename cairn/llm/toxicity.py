@@ -18,7 +18,7 @@ SPLIT = "[^\\p{L}\\p{N}]+"
 #: Follows each window, so that a short one is compressed at all and matches reach its end.
 CARRIER = b"|=carrier=of=the=window=:0123456789:window=of=the=carrier=|"
 MIN_MATCH, LONGEST, GAINS = 5, 64, 8
-CACHE = 300_000
+CACHE = 200_000
 
 
 @dataclass

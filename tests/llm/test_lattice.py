@@ -96,3 +96,8 @@ def test_all_pairs_of_small_angles(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert all(unit[i] @ unit[j] > 0.9 for i, j in itertools.combinations(range(60), 2))
     assert {r[1] for r in rows_of(link_vectors(spark.createDataFrame(rows, SCHEMA), chunk=8))} == {59}
+
+
+def test_zeros_of_either_sign_are_equal(spark):
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [-0.0, -1.0])]
+    assert rows_of(link_vectors(spark.createDataFrame(rows, SCHEMA))) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]

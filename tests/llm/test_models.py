@@ -113,7 +113,7 @@ def test_language_edges(spark):
 
 
 def test_toxicity_edges(spark):
-    rows = [(i, f"plain words about gardens and trains {i % 7}" + (" vilefool grotslur" if i % 3 == 0 else "")) for i in range(300)]
+    rows = [(i, f"plain words about gardens and trains {i}" + (" vilefool grotslur" if i % 3 == 0 else "")) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(1, None), (None, 1), (999, 1)], "doc_id long, toxic int")
     model = train_toxicity(docs, labels, F.lit(True))
