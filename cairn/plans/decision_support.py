@@ -290,8 +290,8 @@ WHERE p_partkey = l_partkey AND p_brand <> 'Brand#5' AND p_type NOT LIKE 'MEDIUM
 GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""")
 def q16(t: Tables) -> DataFrame:
     parts = t.part.filter((F.col("p_brand") != "Brand#5") & ~F.col("p_type").like("MEDIUM%") & F.col("p_size").isin(49, 14, 23, 45, 19, 3, 36, 9))
-    # supplier keys are never NULL, so NOT IN is an anti join
-    offers = t.lineitem.select("l_partkey", "l_suppkey").join(t.supplier.filter("s_acctbal < 0"), F.col("l_suppkey") == F.col("s_suppkey"), "left_anti")
+    # s_suppkey is a key and never NULL, and a NULL l_suppkey is out: NOT IN is an anti join then
+    offers = t.lineitem.select("l_partkey", "l_suppkey").filter("l_suppkey IS NOT NULL").join(t.supplier.filter("s_acctbal < 0"), F.col("l_suppkey") == F.col("s_suppkey"), "left_anti")
     return (
         offers.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("p_brand", "p_type", "p_size")
