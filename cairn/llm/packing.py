@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Cached words of a worker.
-CACHE = 400_000
+CACHE = 700_000
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼½¾"
 _SPACE = "\t-\r \x85\xa0"
