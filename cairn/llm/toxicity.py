@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -19,6 +21,10 @@ SPLIT = "[^\\p{L}\\p{N}]+"
 CARRIER = b"|=carrier=of=the=window=:0123456789:window=of=the=carrier=|"
 MIN_MATCH, LONGEST, GAINS = 5, 64, 8
 CACHE = 200_000
+#: Phrases have 2 to LONGEST_PHRASE words; one is looked at if it has up to JOINT characters on both sides of each blank in common with one that was learned.
+LONGEST_PHRASE, JOINT = 3, 4
+#: The chance that a phrase which toxic text doesn't prefer passes for one that it does.
+CHANCE = 1e-6
 
 
 @dataclass
@@ -29,6 +35,7 @@ class ToxicityModel:
     toxic: bytes
     threshold: int = 2
     weights: list[float] = field(default_factory=lambda: [-30.0, 0.0, 0.0])
+    phrases: list[str] = field(default_factory=list)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -44,18 +51,27 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 class Scorer:
     """Gains of windows, kept per worker: how many bytes shorter one is under the toxic dictionary.
 
-    A window is one word in lower case (of a longer one each stretch of LONGEST bytes). The toxic
+    Windows overlap: each word in lower case (of a longer one each stretch of LONGEST bytes), and
+    where phrases were learned each 2 to LONGEST_PHRASE words that follow one another. The toxic
     dictionary holds the ordinary one's content too, so the lengths differ only by what toxic
-    text adds. A window that shares no MIN_MATCH bytes with the added content can't gain and is
-    not compressed.
+    text adds. A word that shares no MIN_MATCH bytes with the added words can't gain and is not
+    compressed; nor is a window of several words that shares no joint with a phrase.
     """
 
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.plain, self.toxic = _compressor(model.ordinary), _compressor(model.ordinary + model.toxic)
+        added = "".join(f"\n {p} " for p in model.phrases).encode() + b"\n" if model.phrases else b""
+        self.plain, self.toxic = _compressor(model.ordinary), _compressor(model.ordinary + added + model.toxic)
         t = model.toxic + b" "
         self.grams = {t[i : i + MIN_MATCH] for i in range(len(t) - MIN_MATCH + 1)}
         self.known: dict[str, int] = {}
+        words = [p.split(" ") for p in model.phrases]
+        self.joints = {(a[-JOINT:], b[:JOINT]) for p in words for a, b in itertools.pairwise(p)}
+        self.sizes = sorted({len(p) for p in words})
+
+    def phrase_gain(self, phrase: str) -> int:
+        w = b" " + phrase.encode("utf-8", "replace") + b" " + CARRIER
+        return min(max(0, len(self.plain.compress(w)) - len(self.toxic.compress(w))), GAINS - 1)
 
     def gain(self, word: str) -> int:
         raw, best = word.encode("utf-8", "replace"), 0
@@ -71,11 +87,26 @@ class Scorer:
         known, counts = self.known, [0] * GAINS
         if len(known) > CACHE:
             known.clear()
-        for w in WORD.findall((text or "").lower()):
+        words = WORD.findall((text or "").lower())
+        for w in words:
             g = known.get(w)
             if g is None:
                 g = known[w] = self.gain(w)
             counts[g] += 1
+        if self.joints:
+            joints, run = self.joints, 0
+            for i in range(1, len(words)):
+                run = run + 1 if (words[i - 1][-JOINT:], words[i][:JOINT]) in joints else 0
+                best = 0
+                for n in self.sizes if run else ():
+                    if n - 1 <= run:
+                        w = " ".join(words[i - n + 1 : i + 1])
+                        g = known.get(w)
+                        if g is None:
+                            g = known[w] = self.phrase_gain(w)
+                        best = max(best, g)
+                if best:  # once for all windows that end here
+                    counts[best] += 1
         return np.array(counts, dtype=np.int64)
 
 
@@ -119,6 +150,32 @@ def _mapped(docs: DataFrame, keep: list[str], model: ToxicityModel, schema: T.St
     return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(work, schema)
 
 
+def _tail(t: int, n: int, p: float) -> float:
+    """The chance of ``t`` or more of ``n`` at rate ``p``."""
+    at = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    return sum(math.exp(at(k)) for k in range(t, n + 1))
+
+
+def _phrases(fit: DataFrame, nt: int, no: int, least: float, ratio: float, words: set[str], most: int = 4000) -> list[str]:
+    """The phrases without any of ``words`` that toxic documents hold far more often, the most frequent first.
+
+    Ordinary documents are searched only for those that enough toxic ones hold.
+    """
+    tokens = F.filter(F.split(F.lower("text"), SPLIT), lambda w: w != "")
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.array_join(F.slice("tokens", i, n), " "))
+    runs = [F.when(F.size("tokens") >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in range(2, LONGEST_PHRASE + 1)]
+    held = fit.withColumn("tokens", tokens).select("__toxic", F.explode(F.array_distinct(F.concat(*runs))).alias("w"))
+    often = table(held.filter("__toxic = 1").groupBy("w").agg(F.count(F.lit(1)).alias("t")).filter(F.col("t") >= least), "often")
+    rare = held.filter("__toxic = 0").join(often.select("w"), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("o"))
+    got = often.join(rare, "w", "left").fillna(0, ["o"]).filter(F.col("t") * max(no, 1) > ratio * nt * (F.col("o") + 1))
+    got = got.orderBy(F.desc("t"), "w").limit(5 * most).collect()
+    sure = [r["w"] for r in got if not no or _tail(r["t"], r["t"] + r["o"], nt / (nt + no)) < CHANCE]
+    sure = [w for w in sure if words.isdisjoint(w.split(" "))]
+    pairs = {w for w in sure if w.count(" ") == 1}
+    within = lambda w: any(" ".join(two) in pairs for two in itertools.pairwise(w.split(" ")))  # noqa: E731  a longer one adds nothing
+    return [w for w in sure if w in pairs or not within(w)][:most]
+
+
 def train_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -133,7 +190,8 @@ def train_toxicity(
 
     Three quarters of them give the dictionaries: the ordinary one the words that most ordinary
     documents hold, the toxic one besides the words that toxic documents hold far more often
-    (``ratio``) and not rarely (``min_share``). Copies of a text count once. On the last quarter
+    (``ratio``) and not rarely (``min_share``), and phrases of other words of which that is so
+    too and by more than CHANCE. Copies of a text count once. On the last quarter
     the threshold on the gain and a logistic curve are calibrated. Rows with a null label or
     text aren't used; without toxic rows nothing is ever called toxic.
     """
@@ -154,7 +212,9 @@ def train_toxicity(
     counted.unpersist()
     text = lambda rows: "".join(" " + r["w"] for r in reversed(rows)).encode()  # noqa: E731  the most frequent next to the window
     model = ToxicityModel(text(common)[-ordinary_bytes:], text(contrast))
-    if not contrast:
+    if nt:
+        model.phrases = _phrases(fit, nt, no, least, ratio, {r["w"] for r in contrast})
+    if not contrast and not model.phrases:
         return model
     schema = T.StructType([T.StructField("__toxic", T.IntegerType()), T.StructField("counts", T.ArrayType(T.LongType()))])
     rows = _mapped(sample.filter("not __fit"), ["__toxic"], model, schema, lambda c: {"counts": c.tolist()}).collect()

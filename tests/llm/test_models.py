@@ -1,6 +1,7 @@
 """Toxicity and language: held-out accuracy, exact code lengths, and edges."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -133,3 +134,21 @@ def test_gain_is_a_difference_of_compressed_lengths():
     assert scorer.gain("vilefool") >= 2
     assert scorer.gain("garden") == 0
     assert scorer.gains("vilefool vilefool garden")[scorer.gain("vilefool")] == 2
+
+
+def test_toxic_phrases_of_ordinary_words(spark):
+    """Words that all documents hold; only that they follow one another tells toxic ones."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        words = [rng.choice(["garden", "train", "window", "morning", "river", "stone", "bridge", "paper"]) for _ in range(40)]
+        words = [w for j, w in enumerate(words) if not j or (words[j - 1], w) != ("train", "window")]
+        words = " ".join(words).replace("train window", "train river").split()
+        rows.append((i, " ".join(words[:20] + ["train", "window"] * (i % 4 == 0) + words[20:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = train_toxicity(docs, labels, F.lit(True))
+    assert "train window" in model.phrases
+    asked = spark.createDataFrame([(1, "a garden, the train window and more"), (2, "train and window"), (3, "window train"), (4, "TRAIN, Window!"), (5, "stone " * 50_000 + "train window")], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in score_toxicity(asked, model, ["doc_id"]).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 1, 5: 1}
