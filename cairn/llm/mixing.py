@@ -83,7 +83,8 @@ def mix_sources(
     Returns the columns of ``docs`` and ``mix_tokens``, ``mix_weight``, ``mix_epoch`` (int, from
     0), ``mix_at`` (double in [0, 1): place in the mixed stream; sorting by it interleaves the
     sources evenly). A null source is a source of its own. A document without tokens takes part
-    with its source's first epoch or, if the source has none at all, is drawn once with weight 0.
+    with its source's first epoch (without ``cover`` only if it comes before the quota's end) or,
+    if the source has none at all, is drawn once with weight 0.
     Rows repeated in ``docs`` are drawn as rows of their own. An empty table gives an empty one.
     """
     if (target_entropy is None) == (max_repeat is None):
@@ -127,7 +128,10 @@ def mix_sources(
     plan = blocks.join(sources if many else F.broadcast(sources), "__src").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
     order = Window.partitionBy("__src", "mix_epoch").orderBy(_hash(seed, F.col("mix_epoch"), F.col("__src"), F.col("__block")), "__block")
     ahead = F.coalesce(F.sum("__in_block").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = plan.withColumn("__start", ahead + F.col("mix_epoch") * F.col("__total")).filter((F.col("__start") < F.col("__quota")) | (F.col("__total") == 0))
+    whole = F.col("__total") == 0
+    if cover:  # the first epoch is within the quota, and what has no tokens may lie right at its end
+        whole = whole | (F.col("mix_epoch") == 0)
+    plan = plan.withColumn("__start", ahead + F.col("mix_epoch") * F.col("__total")).filter((F.col("__start") < F.col("__quota")) | whole)
     plan = table(plan.select("__src", "__block", "mix_epoch", "mix_weight", "__start", "__quota", "__total"), "blocks")
     if plan.count() <= SMALL:
         plan = F.broadcast(plan)
@@ -136,6 +140,7 @@ def mix_sources(
     before = F.coalesce(F.sum("mix_tokens").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     drawn = dealt.withColumn("__before", before).join(plan, ["__src", "__block"])
     at = F.col("__start") + F.col("__before")
-    return drawn.filter((at < F.col("__quota")) | (F.col("__total") == 0)).select(
-        *docs.columns, "mix_tokens", "mix_weight", "mix_epoch", F.coalesce(F.try_divide(at + 0.5, F.col("__quota")), F.lit(0.0)).alias("mix_at")
+    place = F.least(at, F.col("__quota") - 1) + 0.5
+    return drawn.filter((at < F.col("__quota")) | whole).select(
+        *docs.columns, "mix_tokens", "mix_weight", "mix_epoch", F.coalesce(F.try_divide(place, F.col("__quota")), F.lit(0.0)).alias("mix_at")
     )

@@ -95,3 +95,14 @@ def test_edges(spark):
 def test_words(spark):
     df = spark.createDataFrame([(None,), ("",), (" \n",), ("a",), (" a  b\tc ",)], "t string")
     assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [0, 0, 0, 1, 3]
+
+
+@pytest.mark.parametrize("block_rows", [1 << 16, 20])
+def test_cover_keeps_empty_documents_at_the_end(spark, block_rows):
+    """The least repeated source holds mostly empty texts, behind its last token and in whole blocks."""
+    rows = [(i, "a", "w " * 500 if i % 60 == 0 else " ") for i in range(300)] + [(1000 + i, "b", "w w") for i in range(20)]
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA), max_repeat=2.0, cover=True, block_rows=block_rows)
+    drawn = got.select("doc_id", "mix_epoch", "mix_at").collect()
+    assert sorted(r["doc_id"] for r in drawn if r["mix_epoch"] == 0) == [r[0] for r in rows]
+    assert Counter(r["doc_id"] for r in drawn if r["doc_id"] < 1000) == {r[0]: 1 for r in rows if r[1] == "a"}
+    assert all(0 <= r["mix_at"] < 1 for r in drawn)
