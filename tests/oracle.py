@@ -13,6 +13,8 @@ def duck(folder: str):
     con.execute("SET timezone = 'UTC'")
     for name in NAMES:
         at = Path(folder, f"{name}.parquet")
+        if not at.exists():
+            continue
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{at}{'/*.parquet' if at.is_dir() else ''}'")
     return con
 
