@@ -1,15 +1,23 @@
-"""Shared helpers: written tables in the cluster's shared folder, skew-safe joins, bounded Arrow batches."""
+"""Shared helpers: written tables in the cluster's shared folder, skew-safe joins, bounded Arrow slices and caches."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 _LOCAL: list[str] = []
 
 
@@ -30,6 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the store in which Spark finds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -59,10 +73,69 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return hashed(left).join(hashed(right), [key, *on], how).drop(key)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch of long texts can hold in a Python worker, in rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 16 << 20) -> None:
+    """Lower the session's bounds of what one Arrow batch sends to a Python worker, never raise them.
+
+    All operators ask for the same bounds, so their order doesn't matter. Spark has no bound for
+    a single operator, and its default lets a task hold 10,000 texts at once, in the JVM and in
+    Python; what a function works on at a time, it bounds itself by :func:`in_pieces`.
+    """
+    for name, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name)
+        units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+        given = re.fullmatch(r"(-?\d+)\s*([bkmg]?)b?", now.strip().lower())
+        if given is None or not 0 < int(given[1]) * units[given[2] or "b"] <= bound:
+            spark.conf.set(name, str(bound))
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches of at most ``rows`` rows, or about ``size`` bytes where a row isn't larger itself.
+
+    A task works on one slice at a time, so its lists and arrays are bounded. At the end of the task its memory goes back to the system, since workers
+    live on for other stages.
+    """
+    try:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                n = min(rows, batch.num_rows - at)
+                while n > 1 and batch.slice(at, n).get_total_buffer_size() > size and batch.slice(at, n).nbytes > size:
+                    n //= 2
+                yield batch.slice(at, n)
+                at += n
+    finally:
+        tidy()
+
+
+def tidy() -> None:
+    """Give back what this worker no longer uses."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+_KEPT: dict[Any, Any] = {}
+
+
+def kept(name: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by the worker for later tasks of the same ``name``; one thing at a time."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        tidy()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, or with as many underscores before it as set it apart from the ``taken`` ones (case doesn't)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:

@@ -8,16 +8,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import fresh, in_pieces, small_batches
 
 ORDER = 3
 PAD = b"\n" * ORDER
+#: Candidates for letters; ``str.isalpha`` decides, since \\w holds number signs like superscripts too.
 LETTER = re.compile(r"[^\W\d_]")
-CHUNK = 1 << 19
+CHUNK = 1 << 17
+#: A text that its best language codes in SLACK times as many bits a byte as 999 of 1000 training documents is in none.
+SLACK = 1.5
 
 
 @dataclass
@@ -28,6 +31,12 @@ class LanguageModel:
     symbol: np.ndarray
     context: np.ndarray
     bits: np.ndarray
+    #: Bits a byte beyond which a text is in none of the languages.
+    most: float = float("inf")
+
+
+def has_letters(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text or ""))
 
 
 def _raw(text: str | None) -> bytes:
@@ -37,20 +46,20 @@ def _raw(text: str | None) -> bytes:
 def _count(batches):
     """Distinct (ORDER + 1)-byte strings and their counts by language, of some Arrow batches."""
     found: dict[str, dict[int, int]] = {}
-    for batch in batches:
+    for batch in in_pieces(batches):
         texts: dict[str, list[bytes]] = {}
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             texts.setdefault(lang, []).append(_raw(text))
         for lang, raws in texts.items():
-            data = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint32)
-            ends = np.cumsum([len(r) for r in raws])
-            gram = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
-            whole = np.ones(len(gram), bool)
-            for e in ends[:-1]:  # not across two texts
-                whole[max(0, e - ORDER) : e] = False
             own = found.setdefault(lang, {})
-            for g, n in zip(*np.unique(gram[whole], return_counts=True), strict=True):
-                own[int(g)] = own.get(int(g), 0) + int(n)
+            for _, parts in _slices(raws):
+                data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+                gram = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
+                whole = np.ones(len(gram), bool)
+                for e in np.cumsum([len(r) for r in parts])[:-1]:  # not across two texts
+                    whole[max(0, e - ORDER) : e] = False
+                for g, n in zip(*np.unique(gram[whole], return_counts=True), strict=True):
+                    own[int(g)] = own.get(int(g), 0) + int(n)
     for lang, own in found.items():
         keys = list(own)
         for at in range(0, len(keys), 50_000):
@@ -59,21 +68,35 @@ def _count(batches):
 
 
 def train_language(docs: DataFrame, use: Column | None = None, key: str = "doc_id", max_rows: int = 8_000, max_grams: int = 400_000, max_contexts: int = 12_000) -> LanguageModel:
-    """Fit on about ``max_rows`` documents with a non-null lang and ``use``, those of smallest key hash.
+    """Fit on about ``max_rows`` documents with a non-null lang and ``use``, as many of each language.
 
-    Counts of all strings of ORDER + 1 bytes are gathered with Spark; the ``max_grams`` most
-    frequent of them come to the driver and give each language's tree of contexts of 0 to ORDER
-    bytes. Of the contexts of full order the ``max_contexts`` most frequent are kept, a text in
-    another one is coded with the longest shorter context: the order varies.
+    They are those of smallest key hash (a language with fewer gives all of its own). Counts of
+    all their strings of ORDER + 1 bytes are gathered with Spark; of each language the most
+    frequent, ``max_grams`` together, come to the driver and give its tree of contexts of 0 to
+    ORDER bytes. Of the contexts of full order the ``max_contexts`` most frequent are kept, a
+    text in another one is coded with the longest shorter context: the order varies. As many
+    documents again, of the next hashes, tell how many bits a byte are usual.
+
+    Repeated rows count as often as they come; without rows nothing is learned.
     """
-    rows = docs.withColumn("__use", F.lit(True) if use is None else use).filter("__use and lang is not null and text is not null")
-    n = rows.count()
-    if n > max_rows:  # the share of the hash range that holds so many
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 60)) < int(max_rows / n * (1 << 60)))
+    rows = docs.withColumn("__use", F.lit(True) if use is None else use).filter("__use and lang is not null and text is not null").select(key, "text", "lang")
+    held = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    each = held.agg(F.count(F.lit(1)).alias("k")).first()["k"]
+    whole = 1 << 60
+    share = F.least(F.lit(1.0), F.lit(max_rows / max(each, 1)) / F.col("n"))  # of the hash range
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(whole)) / F.lit(float(whole))
+    rows = rows.join(held.select(F.col("lang").alias("__lang"), share.alias("__share")), F.col("lang") == F.col("__lang"))
     small_batches(docs.sparkSession)
-    grams = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
-    got = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
-    return build(sorted(got["lang"].unique()), got["lang"].to_numpy(), got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.float64), max_contexts)
+    grams = rows.filter(place < F.col("__share")).select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    got = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("at", F.row_number().over(first)).filter(F.col("at") <= max(1, max_grams // max(each, 1))).drop("at").toPandas()
+    got = got.sort_values(["lang", "gram"], ignore_index=True)
+    model = build(sorted(got["lang"].unique()), got["lang"].to_numpy(), got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.float64), max_contexts)
+    # where all rows of a language teach it, they also tell what is usual
+    again = rows.filter((place >= F.col("__share")) & (place < 2 * F.col("__share")) | (F.col("__share") >= 1.0)).select("text")
+    usual = identify(again, model, [], rate="rate").filter("rate is not null").agg(F.percentile_approx("rate", 0.999, 10_000)).first()[0]
+    model.most = SLACK * usual if usual is not None else float("inf")
+    return model
 
 
 def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int) -> LanguageModel:
@@ -160,29 +183,40 @@ def code_lengths(texts: list[str | None], model: LanguageModel) -> np.ndarray:
     return total
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score"), rate: str | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs``, ``lang_pred`` and ``score``.
 
     The language whose tree codes the whole text in the fewest bits; the score is its share of
     the probability 2 ** -bits over all languages. A null text or one without letters is ``und``
     with score 0, as is everything if no language was learned. Ties go to the first by name.
+    ``rate`` names one more column, the bits a byte that the best language takes (null for
+    ``und``); more than ``model.most`` are unusual for every language.
+
+    ``names`` names the results; kept columns of these names give way. Repeated rows are judged
+    each, an empty table gives an empty one, and a null key is a key like others.
     """
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    made = [*names, *([rate] if rate else [])]
+    keep = [c for c in keep if c not in made]
+    kinds = [T.StringType(), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, k) for n, k in zip(made, kinds, strict=False)])
     small_batches(docs.sparkSession)
+    text = fresh(keep, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_contexts and the byte alphabet
 
     def work(batches):
         m = shared.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            known = np.array([bool(t and LETTER.search(t)) and bool(m.languages) for t in texts], bool)
-            name, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+        for batch in in_pieces(batches):
+            texts = batch.column(text).to_pylist()
+            known = np.array([bool(m.languages) and has_letters(t) for t in texts], bool)
+            name, score, rates = np.full(len(texts), "und", object), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if known.any():
-                bits = code_lengths([t for t, k in zip(texts, known, strict=True) if k], m)
+                some = [t for t, k in zip(texts, known, strict=True) if k]
+                bits = code_lengths(some, m)
                 best = bits.argmin(1)
                 name[known] = np.array(m.languages, object)[best]
                 score[known] = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(name, pa.string()), pa.array(score)], names=[f.name for f in schema])
+                rates[known] = bits.min(1) / [len(_raw(t)) - ORDER for t in some]
+            out = [pa.array(name, pa.string()), pa.array(score), pa.array(rates, mask=~known)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *out[: len(made)]], names=[f.name for f in schema])
 
-    return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(work, schema)
+    return docs.select(*keep, F.col("text").alias(text)).mapInArrow(work, schema)

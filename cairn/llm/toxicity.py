@@ -1,10 +1,9 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text."""
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text."""
 
 from __future__ import annotations
 
-import itertools
-import math
-import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,18 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import fresh, in_pieces, small_batches, table
 
-WORD = re.compile(r"[^\W_]+")
-SPLIT = "[^\\p{L}\\p{N}]+"
+#: Bytes of a window and between the starts of two.
+SIZE, STEP = 24, 8
 #: Follows each window, so that a short one is compressed at all and matches reach its end.
 CARRIER = b"|=carrier=of=the=window=:0123456789:window=of=the=carrier=|"
-MIN_MATCH, LONGEST, GAINS = 5, 64, 8
-CACHE = 200_000
-#: Phrases have 2 to LONGEST_PHRASE words; one is looked at if it has up to JOINT characters on both sides of each blank in common with one that was learned.
-LONGEST_PHRASE, JOINT = 3, 4
-#: The chance that a phrase which toxic text doesn't prefer passes for one that it does.
-CHANCE = 1e-6
+#: Gains of GAINS - 1 bytes and more count alike.
+GAINS = 16
+#: Segment and part lengths with which zstandard chooses a dictionary's content.
+SEGMENT, PART = 10, 8
+#: A window of toxic text teaches the toxic dictionary if that of other toxic documents saves so many bytes.
+TEACHING = 3
+ROUNDS = 3
+#: Windows compressed in one call.
+AT_ONCE = 8192
 
 
 @dataclass
@@ -33,147 +35,181 @@ class ToxicityModel:
 
     ordinary: bytes
     toxic: bytes
-    threshold: int = 2
-    weights: list[float] = field(default_factory=lambda: [-30.0, 0.0, 0.0])
-    phrases: list[str] = field(default_factory=list)
+    threshold: int = 3
+    weights: list[float] = field(default_factory=lambda: [-30.0, 0.0, 0.0, 0.0])
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+def plain(text: str | None) -> bytes:
+    """What is compressed: the whole text in lower case."""
+    return (text or "").lower().encode("utf-8", "replace")
+
+
+def windows(raw: bytes, start: int = 0, stop: int | None = None) -> list[bytes]:
+    """Windows of SIZE bytes every STEP bytes, the last one reaching the end; those number ``start`` to ``stop``."""
+    n = window_count(raw)
+    return [raw[i * STEP : i * STEP + SIZE] for i in range(start, n if stop is None else min(stop, n))]
+
+
+def window_count(raw: bytes) -> int:
+    return max(1, -(-(len(raw) - SIZE + STEP) // STEP)) if raw else 0
+
+
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=22, hash_log=18, chain_log=18, search_log=4, min_match=MIN_MATCH, target_length=32,
-        strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
+        window_log=23, hash_log=19, chain_log=20, search_log=3, min_match=5, target_length=32,
+        strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     dictionary = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(compression_params=params, dict_data=dictionary)
 
 
+def lengths(by: zstandard.ZstdCompressor, of: list[bytes]) -> np.ndarray:
+    """Compressed lengths of windows."""
+    out = []
+    for at in range(0, len(of), AT_ONCE):
+        got = by.multi_compress_to_buffer([w + CARRIER for w in of[at : at + AT_ONCE]])
+        out.append(np.fromiter(map(len, got), np.int64, len(got)))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 class Scorer:
-    """Gains of windows, kept per worker: how many bytes shorter one is under the toxic dictionary.
+    """Gains of a text's windows: by how many bytes each gets shorter under the toxic dictionary.
 
-    Windows overlap: each word in lower case (of a longer one each stretch of LONGEST bytes), and
-    where phrases were learned each 2 to LONGEST_PHRASE words that follow one another. The toxic
-    dictionary holds the ordinary one's content too, so the lengths differ only by what toxic
-    text adds. A word that shares no MIN_MATCH bytes with the added words can't gain and is not
-    compressed; nor is a window of several words that shares no joint with a phrase.
+    The toxic dictionary holds the ordinary one's content too, so the two lengths differ only by
+    what toxic text adds. Every window of the whole text is compressed under both.
     """
 
     def __init__(self, model: ToxicityModel):
-        self.model = model
-        added = "".join(f"\n {p} " for p in model.phrases).encode() + b"\n" if model.phrases else b""
-        self.plain, self.toxic = _compressor(model.ordinary), _compressor(model.ordinary + added + model.toxic)
-        t = model.toxic + b" "
-        self.grams = {t[i : i + MIN_MATCH] for i in range(len(t) - MIN_MATCH + 1)}
-        self.known: dict[str, int] = {}
-        words = [p.split(" ") for p in model.phrases]
-        self.joints = {(a[-JOINT:], b[:JOINT]) for p in words for a, b in itertools.pairwise(p)}
-        self.sizes = sorted({len(p) for p in words})
-
-    def phrase_gain(self, phrase: str) -> int:
-        w = b" " + phrase.encode("utf-8", "replace") + b" " + CARRIER
-        return min(max(0, len(self.plain.compress(w)) - len(self.toxic.compress(w))), GAINS - 1)
-
-    def gain(self, word: str) -> int:
-        raw, best = word.encode("utf-8", "replace"), 0
-        for at in range(0, len(raw), LONGEST):
-            w = b" " + raw[at : at + LONGEST] + b" "
-            if any(w[i : i + MIN_MATCH] in self.grams for i in range(len(w) - MIN_MATCH + 1)):
-                w += CARRIER
-                best = max(best, len(self.plain.compress(w)) - len(self.toxic.compress(w)))
-        return min(best, GAINS - 1)
-
-    def gains(self, text: str | None) -> np.ndarray:
-        """How many windows of the whole text have which gain, 0 to GAINS - 1."""
-        known, counts = self.known, [0] * GAINS
-        if len(known) > CACHE:
-            known.clear()
-        words = WORD.findall((text or "").lower())
-        for w in words:
-            g = known.get(w)
-            if g is None:
-                g = known[w] = self.gain(w)
-            counts[g] += 1
-        if self.joints:
-            joints, run = self.joints, 0
-            for i in range(1, len(words)):
-                run = run + 1 if (words[i - 1][-JOINT:], words[i][:JOINT]) in joints else 0
-                best = 0
-                for n in self.sizes if run else ():
-                    if n - 1 <= run:
-                        w = " ".join(words[i - n + 1 : i + 1])
-                        g = known.get(w)
-                        if g is None:
-                            g = known[w] = self.phrase_gain(w)
-                        best = max(best, g)
-                if best:  # once for all windows that end here
-                    counts[best] += 1
-        return np.array(counts, dtype=np.int64)
+        self.ordinary, self.toxic = compressor(model.ordinary), compressor(model.ordinary + model.toxic)
+
+    def gains(self, texts: list[str | None]) -> np.ndarray:
+        """For each text how many windows have which gain, 0 (or less) to GAINS - 1 (or more)."""
+        counts = np.zeros((len(texts), GAINS), np.int64)
+        held, of = [], []
+        for i, text in enumerate(texts):
+            raw = plain(text)
+            n = window_count(raw)
+            for at in range(0, n, AT_ONCE):
+                part = windows(raw, at, at + AT_ONCE)
+                held += part
+                of += [i] * len(part)
+                if len(held) >= AT_ONCE:
+                    self._add(counts, held, of)
+                    held, of = [], []
+        self._add(counts, held, of)
+        return counts
+
+    def _add(self, counts: np.ndarray, held: list[bytes], of: list[int]) -> None:
+        gain = np.clip(lengths(self.ordinary, held) - lengths(self.toxic, held), 0, GAINS - 1)
+        np.add.at(counts, (np.array(of, np.int64), gain), 1)
 
 
 def features(counts: np.ndarray, threshold: int) -> np.ndarray:
-    """For each row of counts: 1, log of windows at or over the threshold, and of their gains' sum."""
+    """For each row of counts: 1, log of windows at or over the threshold, of their gains' sum, and of all windows.
+
+    Long ordinary texts have windows that gain by chance, which the last one makes up for.
+    """
     over = counts[:, threshold:]
-    return np.stack([np.ones(len(counts)), np.log1p(over.sum(1)), np.log1p(over @ np.arange(threshold, GAINS))], 1)
+    return np.stack([np.ones(len(counts)), np.log1p(over.sum(1)), np.log1p(over @ np.arange(threshold, GAINS)), np.log1p(counts.sum(1))], 1)
+
+
+def scores(counts: np.ndarray, threshold: int, weights: list[float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features(counts, threshold) @ np.array(weights), -30, 30)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton's method; weights and mean log loss."""
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by Newton's method; coefficients and mean log loss."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
-    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    return w, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """Content of a dictionary that zstandard trains on ``samples``; too little text stands for itself."""
+    if not samples:
+        return b""
+    size = max(256, min(size, sum(map(len, samples)) // 8))
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=PART, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
+
 
+def learn(base: bytes, ordinary: list[bytes], toxic: list[bytes], half: np.ndarray, toxic_bytes: int, ordinary_bytes: int) -> tuple[bytes, bytes]:
+    """Contents of the ordinary and the toxic dictionary.
 
-def _mapped(docs: DataFrame, keep: list[str], model: ToxicityModel, schema: T.StructType, finish) -> DataFrame:
-    """Run ``finish(columns, counts)`` over Arrow batches of whole texts."""
+    The ordinary one is ``base``, stretches of text, and what is trained on ``ordinary`` windows.
+    Most windows of a toxic document are ordinary; which ones aren't is found in rounds: a
+    dictionary is trained on windows of one ``half`` of the toxic documents, and of the other
+    half those stay that it saves TEACHING bytes or more, and the other way round. Ordinary
+    windows that it saves as much teach the ordinary dictionary. Bounded samples, so all of this
+    is some seconds on the driver.
+    """
+    of = lambda windows, mask: [windows[i] for i in np.flatnonzero(mask)]
+    content = base + trained(ordinary, ordinary_bytes)
+    keep = np.ones(len(toxic), bool)
+    for _ in range(ROUNDS):
+        plain_ = compressor(content)
+        on_toxic, on_ordinary = lengths(plain_, toxic), lengths(plain_, ordinary)
+        stays, mistaken = np.zeros(len(toxic), bool), np.zeros(len(ordinary), bool)
+        for side in (0, 1):
+            by = compressor(content + trained(of(toxic, keep & (half == side)), toxic_bytes))
+            other = np.flatnonzero(half != side)
+            stays[other] = on_toxic[other] - lengths(by, [toxic[i] for i in other]) >= TEACHING
+            mistaken |= on_ordinary - lengths(by, ordinary) >= TEACHING
+        if not stays.any():
+            break
+        keep = stays
+        content += trained(of(ordinary, mistaken), ordinary_bytes)
+    return content, trained(of(toxic, keep), toxic_bytes)
+
+
+def _each(docs: DataFrame, keep: list[str], model: ToxicityModel, schema: T.StructType, finish) -> DataFrame:
+    """Run ``finish(counts)``, a list of columns, over Arrow batches of whole texts."""
     import pyarrow as pa
 
-    names = [f.name for f in schema]
-    types = {f.name: f.dataType for f in schema}
     small_batches(docs.sparkSession)
+    text = fresh(keep, "text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size, see train_toxicity
 
-    def work(batches):
-        from pyspark.sql.pandas.types import to_arrow_type
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in in_pieces(batches):
+            counts = scorer.gains(batch.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *finish(counts)], names=[f.name for f in schema])
 
-        scorer = Scorer(model)
-        for batch in batches:
-            counts = np.array([scorer.gains(t) for t in batch.column("text").to_pylist()]).reshape(-1, GAINS)
-            out = {c: batch.column(c) for c in keep} | finish(counts)
-            yield pa.RecordBatch.from_arrays([c if isinstance(c := out[n], pa.Array) else pa.array(c, to_arrow_type(types[n])) for n in names], names=names)
+    return docs.select(*keep, F.col("text").alias(text)).mapInArrow(work, schema)
 
-    return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(work, schema)
 
+def _residual(docs: DataFrame, base: bytes, least: int, share: float) -> DataFrame:
+    """(half, window, cost) of a share of the windows of ``docs``, those that cost ``least`` bytes under ``base``."""
+    import pyarrow as pa
 
-def _tail(t: int, n: int, p: float) -> float:
-    """The chance of ``t`` or more of ``n`` at rate ``p``."""
-    at = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
-    return sum(math.exp(at(k)) for k in range(t, n + 1))
-
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(base)
 
-def _phrases(fit: DataFrame, nt: int, no: int, least: float, ratio: float, words: set[str], most: int = 4000) -> list[str]:
-    """The phrases without any of ``words`` that toxic documents hold far more often, the most frequent first.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = compressor(shared.value)
+        for batch in in_pieces(batches):
+            for half, text in zip(batch.column("__half").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                raw = plain(text)
+                rng = np.random.default_rng(zlib.crc32(raw))
+                for at in range(0, window_count(raw), AT_ONCE):
+                    own = windows(raw, at, at + AT_ONCE)
+                    own = [w for w, r in zip(own, rng.random(len(own)), strict=True) if r < share]
+                    cost = lengths(by, own)
+                    good = np.flatnonzero(cost >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array([half] * len(good), pa.int32()), pa.array([own[i] for i in good], pa.binary()), pa.array(cost[good])], names=["half", "window", "cost"])
 
-    Ordinary documents are searched only for those that enough toxic ones hold.
-    """
-    tokens = F.filter(F.split(F.lower("text"), SPLIT), lambda w: w != "")
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.array_join(F.slice("tokens", i, n), " "))
-    runs = [F.when(F.size("tokens") >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in range(2, LONGEST_PHRASE + 1)]
-    held = fit.withColumn("tokens", tokens).select("__toxic", F.explode(F.array_distinct(F.concat(*runs))).alias("w"))
-    often = table(held.filter("__toxic = 1").groupBy("w").agg(F.count(F.lit(1)).alias("t")).filter(F.col("t") >= least), "often")
-    rare = held.filter("__toxic = 0").join(often.select("w"), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("o"))
-    got = often.join(rare, "w", "left").fillna(0, ["o"]).filter(F.col("t") * max(no, 1) > ratio * nt * (F.col("o") + 1))
-    got = got.orderBy(F.desc("t"), "w").limit(5 * most).collect()
-    sure = [r["w"] for r in got if not no or _tail(r["t"], r["t"] + r["o"], nt / (nt + no)) < CHANCE]
-    sure = [w for w in sure if words.isdisjoint(w.split(" "))]
-    pairs = {w for w in sure if w.count(" ") == 1}
-    within = lambda w: any(" ".join(two) in pairs for two in itertools.pairwise(w.split(" ")))  # noqa: E731  a longer one adds nothing
-    return [w for w in sure if w in pairs or not within(w)][:most]
+    return docs.select("__half", "text").mapInArrow(work, "half int, window binary, cost long")
 
 
 def train_toxicity(
@@ -182,66 +218,86 @@ def train_toxicity(
     use: Column,
     key: str = "doc_id",
     max_rows: int = 24_000,
-    ordinary_bytes: int = 1 << 20,
-    min_share: float = 0.015,
-    ratio: float = 10.0,
+    max_windows: int = 80_000,
+    base_bytes: int = 4 << 20,
+    toxic_bytes: int = 1 << 14,
+    ordinary_bytes: int = 1 << 16,
 ) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled rows, those of smallest hash among which ``use`` holds.
 
-    Three quarters of them give the dictionaries: the ordinary one the words that most ordinary
-    documents hold, the toxic one besides the words that toxic documents hold far more often
-    (``ratio``) and not rarely (``min_share``), and phrases of other words of which that is so
-    too and by more than CHANCE. Copies of a text count once. On the last quarter
-    the threshold on the gain and a logistic curve are calibrated. Rows with a null label or
-    text aren't used; without toxic rows nothing is ever called toxic.
+    A third of them may be toxic. Three quarters teach the dictionaries: half of the ordinary
+    ones give ``base_bytes`` of stretches of text, the windows of the others and of the toxic
+    ones that cost most under these stretches, ``max_windows`` of either kind, are what
+    :func:`learn` trains dictionaries of ``ordinary_bytes`` (a round) and ``toxic_bytes`` on.
+    Copies of a text count once. On the last quarter the least gain that counts and a logistic
+    curve are calibrated, with weights that restore the labels' own rates. Rows with a null
+    label or text aren't used; without toxic rows nothing is ever called toxic. If the last
+    quarter lacks a class, a fixed curve stands in.
     """
     h = F.xxhash64(F.col(key))
-    chosen = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull() & use).groupBy(key).agg(F.max("toxic").alias("__toxic"))
-    chosen = chosen.orderBy(h, key).limit(max_rows)
+    marked = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull() & use).groupBy(key).agg((F.max("toxic") > 0).cast("int").alias("__toxic"))
+    marked = table(marked, "marked")
+    known = {r["__toxic"]: r["n"] for r in marked.groupBy("__toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    took = {1: min(known.get(1, 0), max_rows // 3)}
+    took[0] = min(known.get(0, 0), max_rows - took[1])
+    chosen = marked.filter("__toxic = 1").orderBy(h, key).limit(took[1]).unionByName(marked.filter("__toxic = 0").orderBy(h, key).limit(took[0]))
     # at most max_rows ids and bits
-    sample = docs.select(key, "text").filter("text is not null").join(F.broadcast(chosen), key).withColumn("__fit", F.pmod(h, F.lit(4)) != 0)
-    sample = table(sample.withColumn("__toxic", F.col("__toxic").cast("int")), "labelled")
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), SPLIT)))
-    fit = sample.filter("__fit").groupBy(F.xxhash64("text").alias("__h")).agg(F.first("text").alias("text"), F.max("__toxic").alias("__toxic"))
-    counted = fit.select("__toxic", words.alias("w")).groupBy("w").agg(F.sum("__toxic").alias("t"), F.sum(1 - F.col("__toxic")).alias("o")).filter("w != ''").persist()
-    total = fit.agg(F.sum("__toxic"), F.sum(1 - F.col("__toxic"))).first()
-    nt, no = (total[0] or 0), (total[1] or 0)
-    least = max(3.0, min_share * nt)
-    contrast = counted.filter((F.col("t") >= least) & (F.col("t") * max(no, 1) > ratio * nt * (F.col("o") + 1))).orderBy(F.desc("t"), "w").limit(4000).collect() if nt else []
-    common = counted.filter("o >= 2").orderBy(F.desc("o"), "w").limit(ordinary_bytes // 6).collect()
-    counted.unpersist()
-    text = lambda rows: "".join(" " + r["w"] for r in reversed(rows)).encode()  # noqa: E731  the most frequent next to the window
-    model = ToxicityModel(text(common)[-ordinary_bytes:], text(contrast))
-    if nt:
-        model.phrases = _phrases(fit, nt, no, least, ratio, {r["w"] for r in contrast})
-    if not contrast and not model.phrases:
+    sample = docs.select(key, "text").filter("text is not null").join(F.broadcast(chosen), key).withColumns({"__fit": F.pmod(h, F.lit(4)) != 0, "__half": F.pmod(F.shiftright(h, 2), F.lit(2)).cast("int")})
+    sample = table(sample, "labelled")
+    fit = sample.filter("__fit").groupBy(F.xxhash64("text").alias("__h")).agg(*[F.min_by(c, key).alias(c) for c in ("text", "__half")], F.max("__toxic").alias("__toxic"))
+    fit = table(fit, "taught")
+    bad, other = fit.filter("__toxic = 1"), fit.filter("__toxic = 0")
+    model = ToxicityModel(b"", b"")
+    if not took[1] or not bad.count():
         return model
+
+    stretch, longest = base_bytes // 1024, 4096
+    at = F.pmod(F.xxhash64("__h"), F.greatest(F.lit(1), F.length("text") - longest)) + 1
+    found = other.filter("__half = 0").orderBy("__h").limit(stretch).select(F.substr("text", at, F.lit(longest)).alias("t")).collect()
+    base = b"\n".join(plain(r["t"]) for r in found)[:base_bytes]
+    measured = F.ceil(F.octet_length("text") / STEP) + 1
+    apart = other.filter("__half = 1")
+    total = apart.agg(F.sum(measured)).first()[0] or 1
+    pick = lambda df: sorted((r["half"], bytes(r["window"]), r["cost"]) for r in df.orderBy(F.xxhash64("window"), "window", "half").limit(max_windows).collect())
+    ordinary = pick(_residual(apart, base, 0, min(1.0, max_windows / total)))
+    least = int(np.quantile([c for _, _, c in ordinary], 0.9)) if ordinary else 0
+    toxic = pick(_residual(bad, base, least, 1.0)) or pick(_residual(bad, base, 0, 1.0))
+    half = np.array([a for a, _, _ in toxic])
+    model.ordinary, model.toxic = learn(base, [w for _, w, _ in ordinary], [w for _, w, _ in toxic], half, toxic_bytes, ordinary_bytes)
+
+    import pyarrow as pa
+
     schema = T.StructType([T.StructField("__toxic", T.IntegerType()), T.StructField("counts", T.ArrayType(T.LongType()))])
-    rows = _mapped(sample.filter("not __fit"), ["__toxic"], model, schema, lambda c: {"counts": c.tolist()}).collect()
+    rows = _each(sample.filter("not __fit"), ["__toxic"], model, schema, lambda c: [pa.array(c.tolist(), pa.list_(pa.int64()))]).collect()
     y = np.array([r["__toxic"] for r in rows], dtype=float)
     if 0 < y.sum() < len(y):
         counts = np.array([r["counts"] for r in rows])
-        fits = {t: _fit(features(counts, t), y) for t in range(1, GAINS)}
+        weight = np.where(y == 1, known[1] / took[1], known.get(0, 0) / max(took[0], 1))
+        fits = {t: _fit(features(counts, t), y, weight / weight.mean()) for t in range(1, GAINS)}
         model.threshold = min(fits, key=lambda t: (fits[t][1], t))
         model.weights = fits[model.threshold][0].tolist()
     else:
-        model.threshold, model.weights = 3, [-3.0, 3.0, 0.0]
+        model.threshold, model.weights = 4, [-3.0, 3.0, 0.0, 0.0]
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Columns ``keep`` of ``docs``, ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5, else 0).
 
-    Whole texts are scored, in bounded Arrow batches; a null or empty text has no window and the
-    score of a text without any gain. Of ``docs`` only ``keep`` and ``text`` are read, so columns
-    named as the results don't clash unless they are kept; kept ones of these names give way.
+    Whole texts are scored, in bounded Arrow batches and stretches; a null or empty text has no
+    window and the score of a text without any gain. ``names`` names the two results; kept
+    columns of these names give way. Repeated rows are scored each; an empty table gives an
+    empty one.
     """
-    keep = [c for c in keep if c not in ("score", "predicted")]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    import pyarrow as pa
+
+    keep = [c for c in keep if c not in names]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
+
+    def finish(counts: np.ndarray) -> list[pa.Array]:
+        score = scores(counts, threshold, weights)
+        return [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
 
-    def finish(counts):
-        z = np.clip(features(counts, model.threshold) @ np.array(model.weights), -30, 30)
-        score = 1 / (1 + np.exp(-z))
-        return {"score": score, "predicted": (score >= 0.5).astype(np.int32)}
+    threshold, weights = model.threshold, model.weights  # the dictionaries themselves are broadcast
+    return _each(docs, keep, model, schema, finish)
 
-    return _mapped(docs, keep, model, schema, finish)
