@@ -11,13 +11,14 @@ from .common import split_join, table
 
 #: Exponents are multiples of 1 / GRID ** ROUNDS, found in ROUNDS jobs that try GRID at a time.
 GRID, ROUNDS = 32, 4
-#: Up to so many rows of sources or blocks are broadcast; more of them are joined by shuffles.
-SMALL = 50_000
+#: Leading hex digits of a block's place in the permutation, by which its prefix sum is worked out in two steps.
+DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
-    """Words between white space; 0 for null or blank."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")).cast("long")
+    """Words between white space; 0 for null or blank. Each word becomes one character, so no list of words is held."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), "[^ \\t\\n\\x0B\\f\\r]+", "x")
+    return F.length(F.translate(marked, " \t\n\x0b\f\r", "")).cast("long")
 
 
 def _hash(*parts: Column | str | int) -> Column:
@@ -70,6 +71,7 @@ def mix_sources(
     block_tokens: int = 1 << 18,
     block_rows: int = 1 << 16,
     seed: int = 7,
+    prefix: str = "mix",
 ) -> DataFrame:
     """Draw documents so that the sources' token shares become their tempered weights.
 
@@ -78,69 +80,97 @@ def mix_sources(
     as makes the least repeated source go in exactly once, so that no document is lost. A quota
     is filled epoch by epoch; in each epoch the source's blocks, to which documents belong by
     hash, come in a permuted order of that epoch, the last one only as far as the quota reaches.
-    A block holds about ``block_tokens`` tokens and ``block_rows`` documents at most.
+    A block holds about ``block_tokens`` tokens and ``block_rows`` documents; if rows that share
+    a key make one twice as large, its rows are dealt to as many parts of it as it takes.
 
     Returns the columns of ``docs`` and ``mix_tokens``, ``mix_weight``, ``mix_epoch`` (int, from
     0), ``mix_at`` (double in [0, 1): place in the mixed stream; sorting by it interleaves the
-    sources evenly). A null source is a source of its own. A document without tokens takes part
+    sources evenly); ``prefix`` stands for ``mix``, and columns of ``docs`` of these names give
+    way. A null source is a source of its own. A document without tokens takes part
     with its source's first epoch (without ``cover`` only if it comes before the quota's end) or,
-    if the source has none at all, is drawn once with weight 0.
+    if the source has none at all, is drawn once with weight 0. Null and empty texts have no
+    tokens, very long ones count whole.
     Rows repeated in ``docs`` are drawn as rows of their own. An empty table gives an empty one.
     """
     if (target_entropy is None) == (max_repeat is None):
         raise ValueError("give either target_entropy or max_repeat")
     if max_repeat is not None and max_repeat < 1:
         raise ValueError("max_repeat is at least 1")
-    src = F.coalesce(F.concat(F.lit("s:"), F.col(source)), F.lit("n"))
+    made = [f"{prefix}_{x}" for x in ("tokens", "weight", "epoch", "at")]
+    own = [c for c in docs.columns if c not in made]
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     count = F.greatest(F.coalesce(word_count(F.col("text")) if tokens is None else tokens, F.lit(0)), F.lit(0)).cast("long")
-    sized = docs.withColumn("__src", src).withColumn("mix_tokens", count)
-    totals = table(sized.groupBy("__src").agg(F.sum("mix_tokens").alias("__total"), F.count(F.lit(1)).alias("__rows")), "totals")
-    shares = totals.filter("__total > 0").withColumn("share", F.col("__total") / F.sum("__total").over(Window.partitionBy()))
-    n, corpus, top, low = shares.agg(F.count(F.lit(1)), F.sum("__total"), F.max("share"), F.min("share")).first()
-    if n <= SMALL:
-        shares = shares.coalesce(1)
-    alpha = exponent(shares, target_entropy, max_repeat, cover) if n > 1 else 1.0
-    power = F.pow(F.col("share"), F.lit(alpha))
-    norm = shares.agg(F.sum(power)).first()[0] or 1.0
+    # the documents' own columns are one struct, so no name of theirs meets one of these
+    sized = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"),
+        F.coalesce(F.concat(F.lit("s:"), F.col(source)), F.lit("n")).alias("src"),
+        count.alias("tokens"),
+        F.conv(F.substring(_hash(seed, name), 1, 8), 16, 10).cast("long").alias("pick"),
+        _hash(seed, "d", name).alias("turn"),
+        F.col(key).alias("key"),
+    )
+    totals = table(sized.groupBy("src").agg(F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("rows")), "totals")
+    some = totals.filter("total > 0")
+    n, corpus, top, low = some.agg(F.count(F.lit(1)), F.sum("total"), F.max("total"), F.min("total")).first()
+    share = F.col("total") / F.lit(corpus or 1)
+    alpha = exponent(some.select(share.alias("share")), target_entropy, max_repeat, cover) if n > 1 else 1.0
+    power = F.pow(share, F.lit(alpha))
+    norm = some.agg(F.sum(power)).first()[0] or 1.0
     if cover:
-        budget = math.ceil(corpus * top / (top**alpha / norm)) if n else 0
+        budget = math.ceil(corpus * (top / corpus) / ((top / corpus) ** alpha / norm)) if n else 0
     elif budget is None:
         budget = corpus or 0
     quota = F.round(power / F.lit(norm) * F.lit(float(budget))).cast("long")
     if cover:
-        quota = F.greatest(quota, F.col("__total"))
-    sources = totals.join(shares.select("__src", quota.alias("__quota"), (power / F.lit(norm)).alias("mix_weight")), "__src", "left").select(
-        "__src",
-        "__total",
-        F.coalesce("__quota", F.lit(0)).alias("__quota"),
-        F.coalesce("mix_weight", F.lit(0.0)).alias("mix_weight"),
-        F.greatest(F.lit(1), F.ceil(F.col("__total") / block_tokens), F.ceil(F.col("__rows") / block_rows)).alias("__blocks"),
+        quota = F.greatest(quota, F.col("total"))
+    has = F.col("total") > 0
+    sources = totals.select(
+        "src",
+        "total",
+        F.when(has, quota).otherwise(0).alias("quota"),
+        F.when(has, power / F.lit(norm)).otherwise(0.0).alias("weight"),
+        F.greatest(F.lit(1), F.ceil(F.col("total") / block_tokens), F.ceil(F.col("rows") / block_rows)).alias("blocks"),
     )
     sources = table(sources, "sources")
-    many = sources.count() > SMALL
-    pick = F.conv(F.substring(_hash(seed, F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long")
-    sized_blocks = sources.select("__src", "__blocks")
-    dealt = split_join(sized, sized_blocks, ["__src"]) if many else sized.join(F.broadcast(sized_blocks), "__src")
-    dealt = dealt.withColumn("__block", pick % F.col("__blocks")).drop("__blocks")
-
-    blocks = dealt.groupBy("__src", "__block").agg(F.sum("mix_tokens").alias("__in_block"))
-    epochs = F.greatest(F.lit(1), F.ceil(F.col("__quota") / F.greatest(F.col("__total"), F.lit(1)))).cast("int")
-    plan = blocks.join(sources if many else F.broadcast(sources), "__src").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    order = Window.partitionBy("__src", "mix_epoch").orderBy(_hash(seed, F.col("mix_epoch"), F.col("__src"), F.col("__block")), "__block")
-    ahead = F.coalesce(F.sum("__in_block").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.col("__total") == 0
+    dealt = split_join(sized, sources.select("src", "blocks"), ["src"]).withColumn("block", F.col("pick") % F.col("blocks")).drop("blocks", "pick")
+    loads = table(dealt.groupBy("src", "block").agg(F.sum("tokens").alias("size"), F.count(F.lit(1)).alias("rows")), "loads")
+    dealt, loads = _parted(dealt, loads, block_rows)
+
+    epochs = F.greatest(F.lit(1), F.ceil(F.col("quota") / F.greatest(F.col("total"), F.lit(1)))).cast("int")
+    plan = split_join(loads, sources.drop("blocks"), ["src"]).withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
+    plan = plan.withColumn("turn", _hash(seed, F.col("epoch"), F.col("src"), F.col("block"))).withColumn("lead", F.substring("turn", 1, DIGITS))
+    plan = table(plan, "turns")
+    # blocks of a source that begin alike are summed first, so that no window holds all of them
+    leads = plan.groupBy("src", "epoch", "lead").agg(F.sum("size").alias("size"))
+    before = Window.partitionBy("src", "epoch").orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
+    leads = leads.select("src", "epoch", "lead", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("led"))
+    inside = Window.partitionBy("src", "epoch", "lead").orderBy("turn", "block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    plan = plan.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    plan = split_join(plan, leads, ["src", "epoch", "lead"]).withColumn("start", F.col("led") + F.col("ahead") + F.col("epoch") * F.col("total"))
+    whole = F.col("total") == 0
     if cover:  # the first epoch is within the quota, and what has no tokens may lie right at its end
-        whole = whole | (F.col("mix_epoch") == 0)
-    plan = plan.withColumn("__start", ahead + F.col("mix_epoch") * F.col("__total")).filter((F.col("__start") < F.col("__quota")) | whole)
-    plan = table(plan.select("__src", "__block", "mix_epoch", "mix_weight", "__start", "__quota", "__total"), "blocks")
-    if plan.count() <= SMALL:
-        plan = F.broadcast(plan)
-
-    inner = Window.partitionBy("__src", "__block").orderBy(_hash(seed, "d", F.coalesce(F.col(key).cast("string"), F.lit("null"))), F.col(key))
-    before = F.coalesce(F.sum("mix_tokens").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = dealt.withColumn("__before", before).join(plan, ["__src", "__block"])
-    at = F.col("__start") + F.col("__before")
-    place = F.least(at, F.col("__quota") - 1) + 0.5
-    return drawn.filter((at < F.col("__quota")) | whole).select(
-        *docs.columns, "mix_tokens", "mix_weight", "mix_epoch", F.coalesce(F.try_divide(place, F.col("__quota")), F.lit(0.0)).alias("mix_at")
+        whole = whole | (F.col("epoch") == 0)
+    plan = plan.filter((F.col("start") < F.col("quota")) | whole)
+    plan = table(plan.select("src", "block", "part", "epoch", "weight", "start", "quota", "total"), "plan")
+
+    inner = Window.partitionBy("src", "block", "part").orderBy("turn", "key").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("before", F.coalesce(F.sum("tokens").over(inner), F.lit(0)))
+    drawn = split_join(dealt, plan, ["src", "block", "part"]).withColumn("at", F.col("start") + F.col("before"))
+    place = F.try_divide(F.least(F.col("at"), F.col("quota") - 1) + 0.5, F.col("quota"))
+    return drawn.filter((F.col("at") < F.col("quota")) | whole).select(
+        "doc.*", F.col("tokens").alias(made[0]), F.col("weight").alias(made[1]), F.col("epoch").alias(made[2]), F.coalesce(place, F.lit(0.0)).alias(made[3])
     )
+
+
+def _parted(dealt: DataFrame, loads: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both with ``part``: 0, but in blocks of more than twice ``block_rows``, whose rows share keys.
+
+    Such rows are told apart by where they lie, so they are written down first.
+    """
+    over = loads.filter(F.col("rows") > 2 * block_rows).select("src", "block", F.ceil(F.col("rows") / block_rows).alias("parts"))
+    none = F.lit(0).cast("long")
+    if over.isEmpty():
+        return dealt.withColumn("part", none), loads.select("src", "block", none.alias("part"), "size")
+    numbered = split_join(dealt.withColumn("n", F.monotonically_increasing_id()), over, ["src", "block"], "left")
+    numbered = table(numbered.withColumn("part", F.coalesce(F.pmod(F.xxhash64("n"), F.col("parts")), none)).drop("n", "parts"), "parted")
+    return numbered, numbered.groupBy("src", "block", "part").agg(F.sum("tokens").alias("size"))

@@ -21,27 +21,29 @@ def balanced_shards(df: DataFrame, size: str, order: list[str], shards: int) ->
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    parts, tie = partitions(spark), "__tie"
+    parts = partitions(spark)
     weight = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
-    numbered = df.withColumn("__w", weight).withColumn(tie, F.monotonically_increasing_id())
-    placed = table(numbered.repartitionByRange(parts, *order, tie).withColumn("__part", F.spark_partition_id()), "ranges")
+    keys = [f"k{i}" for i in range(len(order))]
+    # the rows' own columns are one struct, so no name of theirs meets one of these
+    numbered = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], weight.alias("w"), F.monotonically_increasing_id().alias("tie"))
+    placed = table(numbered.repartitionByRange(parts, *keys, "tie").withColumn("part", F.spark_partition_id()), "ranges")
 
-    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("__part").agg(F.sum("__w").alias("__bytes"), F.count(F.lit(1)).alias("__rows"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("part").agg(F.sum("w").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     offsets = totals.select(
-        "__part",
-        F.coalesce(F.sum("__bytes").over(ahead), F.lit(0)).alias("__bytes_ahead"),
-        F.coalesce(F.sum("__rows").over(ahead), F.lit(0)).alias("__rows_ahead"),
-        F.sum("__bytes").over(Window.partitionBy()).alias("__total"),
+        "part",
+        F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("bytes_ahead"),
+        F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("rows_ahead"),
+        F.sum("bytes").over(Window.partitionBy()).alias("total"),
     )
-    inside = Window.partitionBy("__part").orderBy(*order, tie)
+    inside = Window.partitionBy("part").orderBy(*keys, "tie")
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = (F.col("__bytes_ahead") + F.sum("__w").over(running)) * 2 - F.col("__w")
-    cut = F.floor(F.try_divide(middle * F.lit(float(shards)), F.col("__total") * 2))
-    rows = placed.join(F.broadcast(offsets), "__part").select(
-        *kept,
+    middle = (F.col("bytes_ahead") + F.sum("w").over(running)) * 2 - F.col("w")
+    cut = F.floor(F.try_divide(middle * F.lit(float(shards)), F.col("total") * 2))
+    rows = placed.join(F.broadcast(offsets), "part").select(
+        "own",
         F.least(F.coalesce(cut, F.lit(0)), F.lit(shards - 1)).cast("int").alias("shard"),
-        (F.col("__rows_ahead") + F.row_number().over(inside) - 1).alias("__row"),
+        (F.col("rows_ahead") + F.row_number().over(inside) - 1).alias("row"),
     )
-    firsts = rows.groupBy("shard").agg(F.min("__row").alias("__first"))
-    return rows.join(F.broadcast(firsts), "shard").select(*kept, "shard", (F.col("__row") - F.col("__first")).cast("long").alias("slot"))
+    firsts = rows.groupBy("shard").agg(F.min("row").alias("first"))
+    return rows.join(F.broadcast(firsts), "shard").select("own.*", "shard", (F.col("row") - F.col("first")).cast("long").alias("slot"))
