@@ -15,19 +15,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_join, table
+from .common import in_pieces, split_join, table
 
 
-def blocks(keys: DataFrame, chunk: int) -> DataFrame:
+def blocks(keys: DataFrame, chunk: int, sizes_of: DataFrame | None = None, chunk_bytes: int = 1) -> DataFrame:
     """(task, side, id) rows from (id, key) rows, read twice: tasks of at most two chunks of about ``chunk`` items.
 
+    With ``sizes_of`` (id, size) a chunk has about ``chunk_bytes`` of them at most, or one item.
+
     Side 0 and 1 are different chunks, whose pairs run across; a task with side 0 alone is a
     chunk against itself. Items that share no key with another one are in no task.
+
+    Homes that meet in a bucket are paired there. These are never more pairs than the bucket has
+    pairs of items, each of which some task compares, and one number a pair instead of vectors.
     """
     buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = table(split_join(keys, buckets, ["key"]), "shared")
     homes = shared.groupBy("id").agg(F.min("leader").alias("home"))
-    sizes = table(homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")), "homes")
+    sized = homes.withColumn("size", F.lit(0)) if sizes_of is None else split_join(homes, sizes_of, ["id"])
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("size") / chunk_bytes)).cast("int")
+    sizes = table(sized.groupBy("home").agg(chunks.alias("chunks"), F.count(F.lit(1)).alias("n")), "homes")
     members = split_join(homes, sizes, ["home"]).select("id", "home", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("c"))
     members = table(members, "members")
 
@@ -49,9 +56,7 @@ def blocks(keys: DataFrame, chunk: int) -> DataFrame:
 def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole tasks out of a stream that is sorted by task."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in in_pieces(batches, rows=1024):
         whole = pa.Table.from_batches([*held, batch]).combine_chunks()
         task = whole.column("task").to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist()]

@@ -10,13 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, split_join, table
+from .common import in_pieces, kept, small_batches, split_join, table
 from .links import blocks, components, verify
 
 WORD = re.compile(r"[^\W_]+")
-CACHE = 200_000
-#: Keys of sought documents are broadcast up to so many, else joined by a shuffle.
-SMALL = 1_000_000
+#: Hashes of words that a worker keeps.
+CACHE = 100_000
+#: Bytes of gram sets in a chunk of candidates, about; a task holds two chunks.
+CHUNK_BYTES = 8 << 20
 
 
 def choose_bands(threshold: float, recall: float, most_rows: int = 12) -> tuple[int, int]:
@@ -122,7 +123,9 @@ def jaccard_classes(
 
     Returns key, class_id (smallest key that links reach, the document's own included), n_links
     (long) and kept (key = class_id). Rows that repeat a key are documents of their own; a null
-    key gets the class of the rest. Whole texts count. An empty table gives an empty one.
+    key gets the class of the rest. Whole texts count, and tasks are cut by the bytes of their
+    gram sets, so that a task holds two chunks of about CHUNK_BYTES, or its longest text. Only
+    the key and the text are read of ``docs``. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall)
@@ -130,31 +133,34 @@ def jaccard_classes(
     key_type = rowed.schema["key"].dataType.simpleString()
     small_batches(spark)
 
+    def sketcher() -> Sketcher:
+        return kept(("sketcher", n, bands, rows), lambda: Sketcher(n, bands, rows))
+
     def sketch(batches):
-        s = Sketcher(n, bands, rows)
-        for batch in batches:
-            names, keys = [], []
+        s = sketcher()
+        for batch in in_pieces(batches):
+            names, keys, sizes = [], [], []
             for t in batch.column("text").to_pylist():
                 g = s.grams(t)
                 names.append(_name(g) if len(g) else None)
                 keys.append(s.minima(g) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["key", "name", "bands"])
+                sizes.append(g.nbytes)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["key", "name", "bands", "size"])
 
-    sketches = table(rowed.mapInArrow(sketch, f"key {key_type}, name binary, bands array<long>"), "sketches")
-    classes = sketches.filter("name is not null").groupBy("name").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands"))
+    sketches = table(rowed.mapInArrow(sketch, f"key {key_type}, name binary, bands array<long>, size long"), "sketches")
+    classes = sketches.filter("name is not null").groupBy("name").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("weight"), *[F.first(c).alias(c) for c in ("bands", "size")])
     classes = table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    tasks = table(blocks(classes.select("id", F.explode("bands").alias("key")), chunk), "blocks")
+    tasks = table(blocks(classes.select("id", F.explode("bands").alias("key")), chunk, classes.select("id", "size"), CHUNK_BYTES), "blocks")
 
     # the text of a class is read again at its smallest key; other texts of that key differ in name
     sought = split_join(classes.select("id", "name", "first", "weight"), tasks.select("id").distinct(), ["id"])
     sought = table(sought, "sought")
-    wanted = sought.select(F.col("first").alias("k")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    texts = rowed.join(wanted, rowed.key.eqNullSafe(wanted["k"]), "left_semi")
+    place = lambda c: F.xxhash64(F.col(c).isNull(), c).alias("at")  # noqa: E731  null keys too; Spark broadcasts or shuffles by size
+    texts = split_join(rowed.select("text", place("key")), sought.select(place("first")).distinct(), ["at"], "left_semi")
 
     def read(batches):
-        s, seen = Sketcher(n, bands, rows), set()
-        for batch in batches:
+        s, seen = sketcher(), set()
+        for batch in in_pieces(batches):
             names, sets = [], []
             for t in batch.column("text").to_pylist():
                 g = s.grams(t)
