@@ -12,10 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, split_join, table
-
-#: Regions of the directory, the only part of the index that is broadcast.
-MAX_REGIONS = 512
+from .common import in_pieces, partitions, small_batches, split_join, table
+
+#: Bytes of the directory's routers, the only part of the index that every task gets: 65,536 regions in 64 dimensions.
+DIRECTORY_BYTES = 32 << 20
+#: Searches of one tree that a task takes on; more of them are several tasks.
+SEARCHES = 4096
+#: Scores are longs; beyond their range they count as its ends.
+LARGEST = (1 << 63) - 1
 PAGE = "region int, chunk int, page int, leaf boolean, ids array<long>, rows array<long>, vectors binary, to_parent binary, radius binary, child binary"
 EXACT = float(1 << 53)
 
@@ -25,7 +29,8 @@ def _dot(a: np.ndarray, b: np.ndarray, largest: float) -> np.ndarray:
     if largest < EXACT:
         return a @ b.T
     whole = np.frompyfunc(int, 1, 1)
-    return whole(a).astype(object) @ whole(b).astype(object).T
+    held = np.frompyfunc(lambda x: max(-LARGEST, min(LARGEST, x)), 1, 1)
+    return held(whole(a).astype(object) @ whole(b).astype(object).T)
 
 
 @dataclass
@@ -72,11 +77,22 @@ class Page:
 def build_pages(space: Space, x: np.ndarray, ids: list, rows: np.ndarray, router: np.ndarray, capacity: int) -> list[Page]:
     """Bulk-loaded M-tree over ``x``; page 0 is the root, whose entries lie around ``router``.
 
-    A node of too many objects takes evenly spaced ones of them as routers and gives each object
-    to the nearest. Where that hardly parts them (equal vectors) it is cut into equal runs.
+    A node of too many objects takes some far from one another as routers (each the farthest
+    from those before it, of evenly spaced ones) and gives each object to the nearest. Where
+    that hardly parts them (equal vectors) it is cut into equal runs.
     """
     pages: list[Page] = []
 
+    def apart(members: np.ndarray, fan: int) -> np.ndarray:
+        some = members[np.unique(np.linspace(0, len(members) - 1, min(len(members), 8 * fan)).astype(int))]
+        between = space.stored(x[some], x[some])
+        chosen = [int(between.sum(0).argmin())]
+        far = between[chosen[0]]
+        while len(chosen) < fan:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, between[chosen[-1]])
+        return some[chosen]
+
     def node(members: np.ndarray, around: np.ndarray) -> tuple[int, float]:
         """Page number and covering radius of the subtree over ``members``."""
         at = len(pages)
@@ -86,7 +102,7 @@ def build_pages(space: Space, x: np.ndarray, ids: list, rows: np.ndarray, router
             pages[at] = Page(True, x[members], far, [ids[m] for m in members], rows[members])
             return at, float(far.max(initial=0))
         fan = min(32, -(-len(members) // capacity))
-        chosen = members[np.linspace(0, len(members) - 1, fan).astype(int)]
+        chosen = apart(members, fan)
         near = space.stored(x[members], x[chosen]).argmin(1)
         if np.bincount(near, minlength=fan).max() > 0.95 * len(members):
             near = np.arange(len(members)) * fan // len(members)
@@ -128,7 +144,7 @@ def best_first(space: Space, pages: list[Page], q: np.ndarray, to_router: float,
         computed += len(open_)
         score = _dot(page.vectors[open_], q[None, :], largest)[:, 0]
         if page.leaf:
-            good = np.flatnonzero((score >= worst) & (page.rows[open_] != own))
+            good = np.flatnonzero((score >= worst).astype(bool) & (page.rows[open_] != own))
             if not len(good):
                 continue
             found = [(-int(score[g]), page.ids[open_[g]] is None, page.ids[open_[g]] or 0, int(page.rows[open_[g]])) for g in good]
@@ -146,11 +162,55 @@ def best_first(space: Space, pages: list[Page], q: np.ndarray, to_router: float,
 
 @dataclass
 class Directory:
-    """The level above the trees: a router, covering radius and number of trees of each region."""
+    """Two levels above the trees: groups, and of each region its router, group, covering radius and number of trees.
+
+    A group's regions lie around one of them, so that a row is compared with some hundred
+    routers and not with all; where it ends up only decides how well the bounds prune.
+    """
 
     routers: np.ndarray
+    centres: np.ndarray
+    members: list[np.ndarray]
     radius: np.ndarray
     chunks: np.ndarray
+    reach: np.ndarray
+
+    @classmethod
+    def over(cls, space: Space, routers: np.ndarray) -> Directory:
+        n = len(routers)
+        centres = routers[np.linspace(0, n - 1, max(1, math.isqrt(n))).astype(int)]
+        group = np.concatenate([space.stored(routers[at : at + 1024], centres).argmin(1) for at in range(0, n, 1024)])
+        members = [np.flatnonzero(group == g) for g in range(len(centres))]
+        return cls(routers, centres, members, np.full(n, -1.0), np.zeros(n, int), np.full(len(centres), -1.0))
+
+    def known(self, space: Space, region: list[int], radius: list[float], chunks: list[int]) -> None:
+        """Covering radii of the regions that hold rows, and from them of the groups."""
+        self.radius[region], self.chunks[region] = radius, chunks
+        for g, own in enumerate(self.members):
+            own = own[self.chunks[own] > 0]
+            if len(own):
+                self.reach[g] = float((space.stored(self.routers[own], self.centres[g : g + 1])[:, 0] + self.radius[own]).max())
+
+    def place(self, space: Space, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Region of each row and the distance to its router."""
+        group = space.stored(x, self.centres).argmin(1)
+        region, far = np.zeros(len(x), np.int32), np.zeros(len(x))
+        for g in np.unique(group):
+            rows = np.flatnonzero(group == g)
+            between = space.stored(x[rows], self.routers[self.members[g]])
+            near = between.argmin(1)
+            region[rows], far[rows] = self.members[g][near], between[np.arange(len(rows)), near]
+        return region, far
+
+    def within(self, space: Space, q: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Regions in which something may lie within ``limit`` of a query, and the distances to their routers."""
+        square = float(q @ q)
+        groups = np.flatnonzero((self.reach >= 0) & (space.query(square, self.centres @ q) - self.reach <= limit))
+        regions = np.concatenate([self.members[g] for g in groups]) if len(groups) else np.empty(0, int)
+        regions = regions[self.chunks[regions] > 0]
+        away = space.query(square, self.routers[regions] @ q)
+        good = away - self.radius[regions] <= limit
+        return regions[good], away[good]
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -182,7 +242,7 @@ def _pages_of(batches: Iterator[pa.RecordBatch], schema: str, space: Space, dire
                     ],
                 )
 
-    for batch in batches:
+    for batch in in_pieces(batches, rows=1024):
         keys = np.stack([batch.column("region").to_numpy(), batch.column("chunk").to_numpy()], 1)
         cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1).tolist(), len(keys)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -209,22 +269,27 @@ def _search(pages: DataFrame, asked: DataFrame, space: Space, dim: int, k: int)
     """(query, id, row, score) that the trees (region, chunk) named in ``asked`` find.
 
     ``asked`` has region, chunk, query (row number), vector, to_router and floor. A tree's pages
-    and then its queries pass through one task in order: memory holds one tree and one batch.
+    and then about SEARCHES of its queries pass through one task in order: memory holds one tree
+    and one batch. A tree that more queries ask is read by several tasks.
     """
-    keep = ["region", "chunk", "kind", *[f.split()[0] for f in PAGE.split(", ")[2:]], "query", "vector", "to_router", "floor"]
+    asked = table(asked, "asked")
+    slices = asked.groupBy("region", "chunk").agg(F.ceil(F.count(F.lit(1)) / SEARCHES).cast("int").alias("slices"))
+    pages = split_join(pages, slices, ["region", "chunk"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    asked = split_join(asked, slices, ["region", "chunk"]).withColumn("slice", F.pmod(F.xxhash64("query"), F.col("slices")).cast("int")).drop("slices")
+    keep = ["region", "chunk", "slice", "kind", *[f.split()[0] for f in PAGE.split(", ")[2:]], "query", "vector", "to_router", "floor"]
     left = pages.withColumns({"kind": F.lit(0), "query": F.lit(None).cast("long"), "vector": F.lit(None).cast("array<double>"), "to_router": F.lit(None).cast("double"), "floor": F.lit(None).cast("double")})
     right = asked.withColumn("kind", F.lit(1))
     for f in PAGE.split(", ")[2:]:
         name, kind = f.split()
         right = right.withColumn(name, F.lit(None).cast(kind))
-    stream = left.select(keep).unionByName(right.select(keep)).repartition(partitions(pages.sparkSession), "region", "chunk").sortWithinPartitions("region", "chunk", "kind", "page")
+    stream = left.select(keep).unionByName(right.select(keep)).repartition(partitions(pages.sparkSession), "region", "chunk", "slice").sortWithinPartitions("region", "chunk", "slice", "kind", "page")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, tree = None, []
-        for batch in batches:
+        for batch in in_pieces(batches):
             out = []
-            for r in batch.to_pylist():
-                if (now := (r["region"], r["chunk"])) != group:
+            for r in batch.to_pylist():  # a row a page or query; a page's vectors are one value
+                if (now := (r["region"], r["chunk"], r["slice"])) != group:
                     group, tree = now, []
                 if r["kind"] == 0:
                     tree.append(_read_page(r, dim))
@@ -241,10 +306,13 @@ def _search(pages: DataFrame, asked: DataFrame, space: Space, dim: int, k: int)
 
 
 def whole_numbers(column: Column, scale: float) -> Column:
-    """Components multiplied by ``scale`` as doubles and rounded down; null if one is null or not finite."""
+    """Components multiplied by ``scale`` as doubles and rounded down; null if one is null or not finite.
+
+    Beyond 1e100 they count as that, so that squares stay finite; scores are out of range long before.
+    """
     sound = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     # floor() gives a long, which huge components don't fit; x - pmod(x, 1) stays a double
-    down = lambda x: F.when(F.abs(x) < 1e15, F.floor(x).cast("double")).otherwise(x)
+    down = lambda x: F.when(F.abs(x) < 1e15, F.floor(x).cast("double")).otherwise(F.greatest(F.lit(-1e100), F.least(F.lit(1e100), x)))
     return F.when(sound, F.transform(column, lambda x: down(x.cast("double") * F.lit(float(scale)))))
 
 
@@ -255,13 +323,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     rows are candidates, also ones with the query's own key; equal scores go to the smaller key,
     null keys last. The result has query_id, rank (int, from 1), the key and score.
 
-    Rows go to the nearest of at most MAX_REGIONS routers (rows of smallest hash) and, by hash,
-    to one of the region's trees of at most about ``tree_rows`` rows, so equal vectors without
-    number are many trees. A query first searches a tree of its nearest region; its k-th score
-    then rules out regions by their covering radius and prunes inside the other trees.
+    Rows go to the nearest router (rows of smallest hash, one for each tree of about
+    ``tree_rows`` rows, DIRECTORY_BYTES at most) and, by hash, to one of the region's trees of
+    at most about as many rows, so equal vectors without number are many trees. A query first searches a tree of its nearest region; its k-th score
+    then rules out regions by their covering radius and prunes inside the other trees. Scores
+    beyond a long's range count as its ends, where the smaller key decides.
 
     Vectors that are null, hold null or non-finite components, or differ in length from the most
-    frequent one take no part. An empty table, or one without queries, gives an empty result.
+    frequent one take no part. Only the key and the vector are read, so other columns don't
+    clash. An empty table, or one without queries, gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), whole_numbers(F.col(column).cast("array<double>"), scale).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -276,21 +346,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     rows = rows.filter(F.size("vector") == dim)
     tree = max(1024, min(tree_rows, (32 << 20) // (8 * dim), -(-n // 48)))
     capacity = max(16, min(256, page_bytes // (8 * dim)))
-    pivots = rows.orderBy(F.xxhash64("row"), "row").limit(max(1, min(MAX_REGIONS, -(-n // tree)))).select("vector").collect()
-    routers = np.unique(np.array([r["vector"] for r in pivots]), axis=0)
-    small_batches(spark, 1024)
+    pivots = rows.orderBy(F.xxhash64("row"), "row").limit(max(1, min(DIRECTORY_BYTES // (8 * dim), -(-n // tree)))).select("vector").collect()
+    directory = Directory.over(space, np.unique(np.array([r["vector"] for r in pivots]), axis=0))
+    small_batches(spark)
 
     def assign(batches):
-        for batch in batches:
-            far = space.stored(_matrix(batch.column("vector")), routers)
-            near = far.argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(far[np.arange(len(near)), near])], names=[*batch.schema.names, "region", "far"])
+        for batch in in_pieces(batches, rows=1024):
+            region, far = directory.place(space, _matrix(batch.column("vector")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region), pa.array(far)], names=[*batch.schema.names, "region", "far"])
 
     placed = table(rows.select("id", "row", "vector", "asks").mapInArrow(assign, "id long, row long, vector array<double>, asks boolean, region int, far double"), "placed")
-    facts = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # MAX_REGIONS rows at most
-    directory = Directory(routers, np.full(len(routers), -1.0), np.zeros(len(routers), int))
-    for r in facts:
-        directory.radius[r["region"]], directory.chunks[r["region"]] = r["radius"], -(-r["n"] // tree)
+    facts = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # a row a region
+    directory.known(space, [r["region"] for r in facts], [r["radius"] for r in facts], [-(-r["n"] // tree) for r in facts])
     counts = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(directory.chunks)], "region int, chunks int"))
     chunked = placed.join(counts, "region").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")).select("region", "chunk", "id", "row", "vector")
     stream = chunked.repartition(partitions(spark), "region", "chunk").sortWithinPartitions("region", "chunk", "row")
@@ -302,34 +369,33 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
         """Home tree of each query, or all other trees in which something may reach its floor."""
 
         def work(batches):
-            for batch in batches:
+            for batch in in_pieces(batches):
                 q = _matrix(batch.column("vector"))
                 squares = (q * q).sum(1)
-                away = space.query(squares[:, None], q @ routers.T)
-                least = away - directory.radius
-                least[:, directory.chunks == 0] = np.inf
                 of = batch.column("query").to_numpy()
-                home = least.argmin(1)
+                home, _ = directory.place(space, q)  # where the row itself lies
                 turn = of % directory.chunks[home]
-                take, region, chunk = [], [], []
-                floors = None if first else batch.column("floor").to_pylist()
+                take, region, chunk, router = [], [], [], []
+                floors = [None] * len(q) if first else batch.column("floor").to_pylist()
                 for i in range(len(q)):
                     if first:
-                        take, region, chunk = [*take, i], [*region, home[i]], [*chunk, turn[i]]
-                        continue
-                    limit = math.inf if floors[i] is None else float(space.query(squares[i], floors[i])) + space.slack(squares[i])
-                    for g in np.flatnonzero(least[i] <= limit):
+                        found = [(home[i], float(space.query(squares[i], directory.routers[home[i]] @ q[i])))]
+                    else:
+                        limit = math.inf if floors[i] is None else float(space.query(squares[i], floors[i])) + space.slack(squares[i])
+                        found = zip(*directory.within(space, q[i], limit), strict=True)
+                    for g, away in found:
                         for c in range(directory.chunks[g]):
-                            if (g, c) != (home[i], turn[i]):
+                            if ((g, c) == (home[i], turn[i])) == first:
                                 take.append(i)
                                 region.append(g)
                                 chunk.append(c)
+                                router.append(away)
                 for at in range(0, len(take), 4096):
                     part = np.array(take[at : at + 4096], np.int64)
                     g = np.array(region[at : at + 4096], np.int32)
                     floor = pa.nulls(len(part), pa.float64()) if first else batch.column("floor").take(pa.array(part))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(g), pa.array(np.array(chunk[at : at + 4096], np.int32)), pa.array(of[part]), batch.column("vector").take(pa.array(part)), pa.array(away[part, g]), floor],
+                        [pa.array(g), pa.array(np.array(chunk[at : at + 4096], np.int32)), pa.array(of[part]), batch.column("vector").take(pa.array(part)), pa.array(np.array(router[at : at + 4096], np.float64)), floor],
                         names=["region", "chunk", "query", "vector", "to_router", "floor"],
                     )
 

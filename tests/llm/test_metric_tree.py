@@ -90,7 +90,8 @@ def test_one_tree_or_many_is_the_same(spark, monkeypatch):
     rows = [(int(i), v.tolist()) for i, v in enumerate(rng.normal(0, 1, (2500, 4)).astype(np.float32))]
     df = spark.createDataFrame(rows, SCHEMA)
     many = found(top_k(df, F.col("vec_id") % 50 == 0))
-    monkeypatch.setattr(metric_tree, "MAX_REGIONS", 1)
+    monkeypatch.setattr(metric_tree, "DIRECTORY_BYTES", 1)
+    monkeypatch.setattr(metric_tree, "SEARCHES", 7)
     assert many == found(top_k(df, F.col("vec_id") % 50 == 0))
 
 
@@ -99,3 +100,13 @@ def test_null_query_flag(spark):
     with pytest.raises(Exception, match="embeddingx"):
         top_k(df, F.col("vec_id") == 1, column="embeddingx").count()
     assert found(top_k(df, F.col("vec_id") % 100 == 0)) == []
+
+
+def test_scores_beyond_a_long(spark):
+    """They count as the ends of its range; the smaller key goes first among them."""
+    rows = [(i, [1e30, float(i)]) for i in range(30)] + [(100, [-1e30, 0.0]), (101, [1.0, 2.0]), (102, [3e38, 3e38])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = found(top_k(df, F.col("vec_id").isin(0, 100), k=5))
+    assert [r[2] for r in got if r[0] == 0] == [1, 2, 3, 4, 5]
+    assert {r[3] for r in got if r[0] == 0} == {metric_tree.LARGEST}
+    assert next(r[2] for r in got if r[:2] == (100, 1)) == 101
