@@ -29,8 +29,8 @@ WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
 SELECT ids.id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, ids.id = root AS kept
 FROM ids JOIN roots USING (id) LEFT JOIN degree USING (id)"""
 
-_STRENGTH = """(SELECT greatest(1.0, least(1000.0, (SELECT sum(n) FROM h), CASE WHEN q > e THEN (v - e) / (q - e) - 1 ELSE 1000.0 END)) FROM
-    (SELECT sum(n * pow(k / n - m, 2)) AS q, sum(m * (1 - m)) AS e, sum(n * m * (1 - m)) AS v FROM {} WHERE n > 0))"""
+_STRENGTH = """(SELECT fold, greatest(1.0, least(1000.0, n, CASE WHEN q > e THEN (v - e) / (q - e) - 1 ELSE 1000.0 END)) AS s FROM (SELECT fold, sum(n) AS n FROM h GROUP BY fold) LEFT JOIN
+    (SELECT fold, sum(n * pow(k / n - m, 2)) AS q, sum(m * (1 - m)) AS e, sum(n * m * (1 - m)) AS v FROM {} WHERE n > 0 GROUP BY fold) USING (fold))"""
 
 OP3 = f"""
 WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -38,17 +38,22 @@ WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, try_cast(regexp_extract(url, '^[^?#]*/([0-9]+)', 1) AS BIGINT) AS doc_id FROM u),
   bad AS (SELECT doc_id, max(toxic) AS bad FROM labels GROUP BY doc_id),
   known AS (SELECT page_id, max(bad) AS bad FROM w JOIN bad USING (doc_id) GROUP BY page_id),
-  parts AS (SELECT host, split(host, '.') AS l, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM w LEFT JOIN known USING (page_id) GROUP BY host),
-  sized AS (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'co.nz', 'com.br', 'co.in', 'example.com', 'example.net', 'example.org') THEN 2 ELSE 1 END AS s FROM parts),
-  h AS (SELECT host, array_to_string(l[-s:], '.') AS suffix, array_to_string(l[-(s + 1):], '.') AS domain, n, k FROM sized),
-  d0 AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY suffix, domain),
-  s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM h) AS m, (SELECT sum(n) + 2 FROM h) AS p FROM h GROUP BY suffix),
-  s1 AS (SELECT suffix, (t * m + k) / (t + n) AS m, t + n AS p FROM (SELECT *, s * p / (s + p) AS t FROM s0, (SELECT {_STRENGTH.format("s0")} AS s))),
-  d1 AS (SELECT d0.*, m, p FROM d0 JOIN s1 USING (suffix)),
-  d2 AS (SELECT suffix, domain, (t * m + k) / (t + n) AS m, t + n AS p FROM (SELECT *, s * p / (s + p) AS t FROM d1, (SELECT {_STRENGTH.format("d1")} AS s))),
-  h1 AS (SELECT h.*, m, p FROM h JOIN d2 USING (suffix, domain)),
-  ab AS (SELECT host, t * m + k AS a, t * (1 - m) + n - k AS b FROM (SELECT *, s * p / (s + p) AS t FROM h1, (SELECT {_STRENGTH.format("h1")} AS s))),
-  bound AS (SELECT host, a / (a + b) AS mean, mean - 2.326 * sqrt(mean * (1 - mean) / (a + b + 1)) AS low FROM ab),
+  halved AS (SELECT host, bad, CASE WHEN substr(md5(coalesce(page_id::VARCHAR, '')), 1, 1) < '8' THEN 0 ELSE 1 END AS half FROM w LEFT JOIN known USING (page_id)),
+  parts AS (SELECT host, split(host, '.') AS l, fold, count(bad) FILTER (fold IN (2, half))::DOUBLE AS n, coalesce(sum(bad) FILTER (fold IN (2, half)), 0)::DOUBLE AS k,
+    count(bad) FILTER (fold < 2 AND fold <> half)::DOUBLE AS other_n, coalesce(sum(bad) FILTER (fold < 2 AND fold <> half), 0)::DOUBLE AS other_k FROM halved, range(3) f(fold) GROUP BY host, fold),
+  h AS (SELECT fold, host, l[-1] AS suffix, array_to_string(l[-2:], '.') AS domain, n, k, other_n, other_k FROM parts),
+  d0 AS (SELECT fold, suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY fold, suffix, domain),
+  t0 AS (SELECT fold, (sum(k) + 1) / (sum(n) + 2) AS m, sum(n) + 2 AS p FROM h GROUP BY fold),
+  s0 AS (SELECT fold, suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m, any_value(p) AS p FROM h JOIN t0 USING (fold) GROUP BY fold, suffix),
+  s1 AS (SELECT fold, suffix, (t * m + k) / (t + n) AS m, t + n AS p FROM (SELECT *, s * p / (s + p) AS t FROM s0 JOIN {_STRENGTH.format("s0")} USING (fold))),
+  d1 AS (SELECT d0.*, m, p FROM d0 JOIN s1 USING (fold, suffix)),
+  d2 AS (SELECT fold, suffix, domain, (t * m + k) / (t + n) AS m, t + n AS p FROM (SELECT *, s * p / (s + p) AS t FROM d1 JOIN {_STRENGTH.format("d1")} USING (fold))),
+  h1 AS (SELECT h.*, m, p FROM h JOIN d2 USING (fold, suffix, domain)),
+  ab AS (SELECT fold, host, other_n, other_k, t * m + k AS a, t * (1 - m) + n - k AS b FROM (SELECT *, s * p / (s + p) AS t FROM h1 JOIN {_STRENGTH.format("h1")} USING (fold))),
+  bound AS (SELECT *, a / (a + b) AS mean, mean - 2.326 * sqrt(mean * (1 - mean) / (a + b + 1)) AS low FROM ab),
+  steps AS (SELECT greatest(0, least(50, ceil(low * 50))) AS step, other_n - other_k AS good, other_k AS bad FROM bound WHERE fold < 2 AND host <> ''),
+  loss AS (SELECT j, coalesce((SELECT sum(CASE WHEN step > j THEN good ELSE bad END) FROM steps), 0) AS loss FROM range(51) r(j)),
+  most AS (SELECT max(j) / 50 AS most FROM loss WHERE loss = (SELECT min(loss) FROM loss)),
   ruled AS (SELECT page_id, host, path, CASE
       WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
       WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
@@ -56,8 +61,8 @@ WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url,
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM w)
 SELECT page_id, ruled.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN low > 0.3 AND ruled.host <> '' THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled LEFT JOIN bound ON ruled.host = bound.host"""
+  WHEN low > most AND ruled.host <> '' THEN 'block' ELSE 'allow' END AS verdict, round(mean, 9) AS bad_rate, round(low, 9) AS bad_bound
+FROM ruled LEFT JOIN bound ON ruled.host = bound.host AND fold = 2, most"""
 
 #: crc32 over a text's bytes by the usual table, which is built from its polynomial.
 _STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"

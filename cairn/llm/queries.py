@@ -14,7 +14,7 @@ from .metric_tree import top_k
 from .mixing import mix_sources, word_count
 from .oracle import SQL
 from .packing import pack
-from .reputation import SUFFIXES, filter_urls
+from .reputation import filter_urls
 from .sharding import balanced_shards
 from .shingles import jaccard_classes
 from .toxicity import score_toxicity, train_toxicity
@@ -24,8 +24,6 @@ SHARDS = 24
 TOKENS = 2048
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Hosts below these belong to different owners.
-URL_SUFFIXES = (*SUFFIXES, "example.com", "example.net", "example.org")
 
 
 def tokenizer_path() -> str:
@@ -53,7 +51,7 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = pages.select("page_id", F.expr("try_cast(regexp_extract(url, '^[^?#]*/([0-9]+)', 1) as bigint)").alias("doc_id"))
     bad = labels.groupBy("doc_id").agg(F.max("toxic").alias("bad"))
     outcomes = numbered.filter("doc_id is not null").join(bad, "doc_id").select("page_id", "bad")
-    return filter_urls(pages.select("page_id", "url"), outcomes, URL_RULES, suffixes=URL_SUFFIXES).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages.select("page_id", "url"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict", *[F.round(c, 9).alias(c) for c in ("bad_rate", "bad_bound")])
 
 
 def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +75,8 @@ def op7_metric_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(modulus: int) -> Column:
-    """crc32 of the decimal doc_id, modulo ``modulus``."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+    """crc32 of the decimal doc_id, modulo ``modulus``; a null doc_id counts as the empty text, whose crc32 is 0."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
 def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

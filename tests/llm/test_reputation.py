@@ -2,9 +2,11 @@
 
 from urllib.parse import urlsplit
 
+from oracle import assert_same
 from pyspark.sql import functions as F
 
-from cairn.llm.queries import URL_RULES
+from cairn.llm.oracle import SQL
+from cairn.llm.queries import URL_RULES, op3_url_reputation
 from cairn.llm.reputation import filter_urls, suffix_and_domain
 
 SCHEMA = "page_id long, url string"
@@ -67,3 +69,21 @@ def test_suffixes(spark):
     df = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.org",), ("",), ("single",)], "h string")
     got = df.select(*suffix_and_domain(F.col("h"), ("co.uk",))).collect()
     assert [tuple(r) for r in got] == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("org", "x.org"), ("", ""), ("single", "single")]
+
+
+def test_equal_rules(spark):
+    """Equal length: the longer host, then allow."""
+    df = spark.createDataFrame([(1, "http://x.ab.org/cd/e")], SCHEMA)
+    rule = lambda rules: tuple(filter_urls(df, None, rules).select("rule", "verdict").first())
+    assert rule([("block", "ab.org", "/cd/"), ("allow", "x.ab.org", "/c")]) == ("x.ab.org/c", "allow")
+    assert rule([("block", "ab.org", "/cd"), ("allow", "ab.org", "/cd")]) == ("ab.org/cd", "allow")
+
+
+def test_a_planted_bad_host_is_blocked_by_the_query(spark, tmp_path):
+    """Hundreds of ordinary hosts, and one with some dozens of pages, all of them toxic."""
+    urls = [f"http://h{i % 300}.site{i % 40}.org/{i}" for i in range(3000)] + [f"http://bad.host.org/{3000 + i}" for i in range(48)]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(i >= 3000 or i % 13 == 0)) for i in range(len(urls))], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op3_url_reputation(spark, str(tmp_path)).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(3000, 3048))
+    assert_same(op3_url_reputation(spark, str(tmp_path)), str(tmp_path), SQL["op3_url_reputation"])
