@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, small_batches, split_join, table
+from .common import in_pieces, partitions, qualified, small_batches, split_join, table
 from .sharding import balanced_shards
 
 #: Capture time is not among the inputs, so all records carry the same one.
@@ -66,7 +66,7 @@ class _Roll:
     def __init__(self, folder: str, shard: int, limit: int):
         from pyarrow import fs
 
-        self.fs, self.root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        self.fs, self.root = fs.FileSystem.from_uri(folder)
         self.folder, self.shard, self.limit, self.part, self.out = folder, shard, limit, 0, None
         self.fs.create_dir(self.root, recursive=True)
 
@@ -113,8 +113,12 @@ def write_warc(
     smallest key is a response, the rest are revisits of it. A null html counts as empty, a null
     url as about:blank. Rows repeated as a whole give a record each: responses if their key is
     the smallest. A row with a null key revisits one with a key; among nulls all are responses.
+    Of ``pages`` only these three columns are read, so others don't clash. Payloads of any length
+    are written whole, a record at a time; an empty table gives an empty manifest and no files.
+    A lost task's unfinished file stays under its hidden temporary name, which no manifest holds.
     """
     spark = pages.sparkSession
+    folder = qualified(spark, folder)  # the tasks open files by themselves, in the same store as Spark
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).alias("key"), "url", payload.alias("payload"))
     size, digest = F.octet_length("payload").cast("long"), F.sha1("payload")
@@ -129,11 +133,11 @@ def write_warc(
     starts = plan.groupBy("shard").agg(F.min(F.struct(F.col("key").isNotNull().alias("some"), "key", "digest")).alias("at")).orderBy("shard").collect()
     bounds = [_place(r["at"]["key"], r["at"]["digest"]) for r in starts]
     shards = [r["shard"] for r in starts]
-    small_batches(spark, 128)
+    small_batches(spark)
     kind = pages.schema[key].dataType.simpleString()
 
     def place(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             of = [bisect.bisect_right(bounds, _place(k, d)) - 1 for k, d in zip(batch.column("key").to_pylist(), batch.column("digest").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([shards[i] for i in of], pa.int32())], names=[*batch.schema.names, "shard"])
 
@@ -144,7 +148,7 @@ def write_warc(
 
     def work(batches):
         roll, done, fact = None, [], None
-        for batch in batches:
+        for batch in in_pieces(batches, rows=128):
             for r in batch.select(["kind", "name", "url", "payload", "digest", "size", "first", "revisit", "shard"]).to_pylist():
                 if r["kind"] == 0:
                     fact = r
@@ -197,14 +201,14 @@ def read_warc(spark: SparkSession, manifest: DataFrame, with_payload: bool = Fal
     schema = "key string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * with_payload
     names = [c.split()[0] for c in schema.split(", ")]
     types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()][: len(names)]
-    small_batches(spark, 128)
+    small_batches(spark)
 
     def work(batches):
         from pyarrow import fs
 
-        for batch in batches:
+        for batch in in_pieces(batches):
             for path in batch.column("path").to_pylist():
-                store, at = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+                store, at = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with store.open_input_stream(at, compression=None) as stream:
                     for member in _members(stream):
