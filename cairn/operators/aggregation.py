@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cents, revenue, safe_divide, year
-from ..registry import query
+from ..registry import query, sql
 from ..sources import Tables
 
 
@@ -90,3 +90,8 @@ def group_without_aggregate(t: Tables) -> DataFrame:
 @query("SELECT DISTINCT n FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey) c")
 def distinct_of_groups(t: Tables) -> DataFrame:
     return t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).select("n").distinct()
+
+
+@query("SELECT o_totalprice > 150000 AS large, count(*) AS n FROM orders GROUP BY large")
+def group_by_alias_in_sql(t: Tables) -> DataFrame:
+    return sql(t, "SELECT o_totalprice > 150000 AS large, count(*) AS n FROM {orders} GROUP BY large", "orders")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cents
-from ..registry import query, view
+from ..registry import query, sql
 from ..sources import Tables
 
 
@@ -37,6 +37,11 @@ def join_left_theta(t: Tables) -> DataFrame:
     return t.region.join(t.nation, F.col("r_regionkey") > F.col("n_nationkey") + 2, "left").select("r_name", "n_name")
 
 
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal > c_acctbal AND s_nationkey <> c_nationkey")
+def join_theta_without_equality(t: Tables) -> DataFrame:
+    return t.supplier.join(t.customer, (F.col("s_acctbal") > F.col("c_acctbal")) & (F.col("s_nationkey") != F.col("c_nationkey"))).select("s_suppkey", "c_custkey")
+
+
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
 def join_cross(t: Tables) -> DataFrame:
     return t.region.select("r_name").crossJoin(t.nation.select("n_name"))
@@ -44,14 +49,12 @@ def join_cross(t: Tables) -> DataFrame:
 
 @query("SELECT n_name, r_name, s_name FROM nation, region, supplier WHERE n_regionkey = r_regionkey AND s_nationkey = n_nationkey")
 def join_comma_list(t: Tables) -> DataFrame:
-    view(t, "nation", "region", "supplier")
-    return t.spark.sql("SELECT n_name, r_name, s_name FROM nation, region, supplier WHERE n_regionkey = r_regionkey AND s_nationkey = n_nationkey")
+    return sql(t, "SELECT n_name, r_name, s_name FROM {nation}, {region}, {supplier} WHERE n_regionkey = r_regionkey AND s_nationkey = n_nationkey", "nation", "region", "supplier")
 
 
 @query("SELECT n_name, r_name FROM nation, region")
 def join_comma_without_where(t: Tables) -> DataFrame:
-    view(t, "nation", "region")
-    return t.spark.sql("SELECT n_name, r_name FROM nation, region")
+    return sql(t, "SELECT n_name, r_name FROM {nation}, {region}", "nation", "region")
 
 
 @query("""
@@ -66,8 +69,7 @@ def join_composite_key(t: Tables) -> DataFrame:
 
 @query("SELECT r_name, n_name, s_name FROM region, nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey")
 def join_comma_then_explicit(t: Tables) -> DataFrame:
-    view(t, "nation", "region", "supplier")
-    return t.spark.sql("SELECT r_name, n_name, s_name FROM region, nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey")
+    return sql(t, "SELECT r_name, n_name, s_name FROM {region}, {nation} LEFT JOIN {supplier} ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey", "nation", "region", "supplier")
 
 
 @query("SELECT n_name, d.n FROM nation JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey) d ON d.s_nationkey = n_nationkey")
@@ -94,8 +96,7 @@ def exists_with_inequality(t: Tables) -> DataFrame:
 
 @query("SELECT n_name FROM nation WHERE EXISTS (SELECT * FROM supplier WHERE s_acctbal > 9000)")
 def exists_uncorrelated(t: Tables) -> DataFrame:
-    view(t, "nation", "supplier")
-    return t.spark.sql("SELECT n_name FROM nation WHERE EXISTS (SELECT * FROM supplier WHERE s_acctbal > 9000)")
+    return sql(t, "SELECT n_name FROM {nation} WHERE EXISTS (SELECT * FROM {supplier} WHERE s_acctbal > 9000)", "nation", "supplier")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
@@ -113,16 +114,33 @@ def in_subquery_correlated(t: Tables) -> DataFrame:
 _NOT_IN = "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT nullif(s_nationkey, {}) FROM supplier WHERE s_acctbal > 5000)"
 
 
+def not_in(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
+    """Rows of ``left`` whose ``key`` is NOT IN column ``other`` of ``right``, with SQL's rules for NULL.
+
+    An anti join that Spark may shuffle, and one row of facts: nothing is in an empty set, and
+    with a NULL in the set, or as the key, the answer is never true. Spark's own plan for the SQL
+    text broadcasts the set whatever its size.
+    """
+    facts = right.agg(F.count(F.lit(1)).alias("__all"), F.count(other).alias("__some"))
+    apart = left.join(right.select(F.col(other).alias("__other")).filter("__other IS NOT NULL"), F.col(key) == F.col("__other"), "left_anti")
+    sure = (F.col("__all") == 0) | ((F.col("__all") == F.col("__some")) & F.col(key).isNotNull())
+    return apart.join(F.broadcast(facts), sure).drop("__all", "__some")  # one row
+
+
 @query(_NOT_IN.format(-1))
 def not_in_subquery(t: Tables) -> DataFrame:
-    view(t, "customer", "supplier")
-    return t.spark.sql(_NOT_IN.format(-1))
+    suppliers = t.supplier.filter("s_acctbal > 5000").select(F.nullif("s_nationkey", F.lit(-1)).alias("k"))
+    return not_in(t.customer, "c_nationkey", suppliers, "k").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT CASE WHEN s_suppkey > 0 THEN s_nationkey END FROM supplier)")
 def not_in_subquery_with_null(t: Tables) -> DataFrame:
-    view(t, "customer", "supplier")
-    return t.spark.sql("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT CASE WHEN s_suppkey > 0 THEN s_nationkey END FROM supplier)")
+    return not_in(t.customer, "c_nationkey", t.supplier.select(F.when(F.col("s_suppkey") > 0, F.col("s_nationkey")).alias("k")), "k").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 1e9)")
+def not_in_empty_subquery(t: Tables) -> DataFrame:
+    return not_in(t.customer, "c_nationkey", t.supplier.filter("s_acctbal > 1e9"), "s_nationkey").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
@@ -133,16 +151,14 @@ def scalar_subquery(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT max(s_acctbal) FROM supplier WHERE s_acctbal > 1e9)")
 def scalar_subquery_empty(t: Tables) -> DataFrame:
-    view(t, "customer", "supplier")
-    return t.spark.sql("SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT max(s_acctbal) FROM supplier WHERE s_acctbal > 1e9)")
+    return sql(t, "SELECT c_custkey FROM {customer} WHERE c_acctbal > (SELECT max(s_acctbal) FROM {supplier} WHERE s_acctbal > 1e9)", "customer", "supplier")
 
 
 @query("SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o2.o_totalprice) FROM orders o2 WHERE o2.o_custkey = o.o_custkey)")
 def scalar_subquery_correlated(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    mean = F.avg("o_totalprice").over(Window.partitionBy("o_custkey"))
-    return t.orders.select("o_orderkey", "o_totalprice", mean.alias("mean")).filter("o_totalprice > 1.5D * mean").select("o_orderkey")
+    # a grouped mean is summed before the shuffle, and a hot customer's join can be split; a window could be neither
+    mean = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.avg("o_totalprice").alias("mean"))
+    return t.orders.join(mean, (F.col("o_custkey") == F.col("k")) & (F.col("o_totalprice") > 1.5 * F.col("mean"))).select("o_orderkey")
 
 
 @query("SELECT c_nationkey, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_nationkey HAVING sum(c_acctbal) > (SELECT sum(c_acctbal) * 0.05 FROM customer)")

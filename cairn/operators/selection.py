@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cents, day, like_any_case, month, revenue, safe_divide, shift, substring, text_of, trim_space, year
-from ..registry import query, view
+from ..registry import query, sql
 from ..sources import Tables
 
 
@@ -124,9 +124,8 @@ def string_functions(t: Tables) -> DataFrame:
 
 @query("SELECT substring(c_name FROM 1 FOR 8) AS head, substring(c_name FROM 16) AS tail, CAST(c_acctbal AS BIGINT) AS whole, CAST(c_nationkey AS VARCHAR) AS nation FROM customer")
 def substring_and_cast_in_sql(t: Tables) -> DataFrame:
-    view(t, "customer")
     # rounded as the standard's cast does; Spark's own cuts off
-    return t.spark.sql("SELECT substring(c_name FROM 1 FOR 8) AS head, substring(c_name FROM 16) AS tail, CAST(rint(c_acctbal) AS BIGINT) AS whole, CAST(c_nationkey AS STRING) AS nation FROM customer")
+    return sql(t, "SELECT substring(c_name FROM 1 FOR 8) AS head, substring(c_name FROM 16) AS tail, CAST(rint(c_acctbal) AS BIGINT) AS whole, CAST(c_nationkey AS STRING) AS nation FROM {customer}", "customer")
 
 
 @query("SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(extract(month FROM o_orderdate) AS BIGINT) AS m, CAST(extract(day FROM o_orderdate) AS BIGINT) AS d FROM orders")
@@ -167,3 +166,14 @@ def top_k(t: Tables) -> DataFrame:
 @query("SELECT c_nationkey AS k, c_acctbal AS bal FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier")
 def union_all(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("bal")).union(t.supplier.select("s_nationkey", "s_acctbal"))
+
+
+@query("SELECT n_nationkey + 1, n_name, n_regionkey * 2 FROM nation")
+def project_unaliased(t: Tables) -> DataFrame:
+    """Unnamed expressions are named by their own text, columns keep their names."""
+    return sql(t, "SELECT n_nationkey + 1, n_name, n_regionkey * 2 FROM {nation}", "nation")
+
+
+@query("SELECT c_mktsegment, c_custkey FROM customer ORDER BY 1, 2 DESC LIMIT 500")
+def sort_by_ordinal(t: Tables) -> DataFrame:
+    return sql(t, "SELECT c_mktsegment, c_custkey FROM {customer} ORDER BY 1, 2 DESC LIMIT 500", "customer")

@@ -305,8 +305,11 @@ SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM lineitem, part
 WHERE p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity < (SELECT 0.2 * avg(l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)""")
 def q17(t: Tables) -> DataFrame:
     lines = t.lineitem.join(t.part.filter("p_brand = 'Brand#23'"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-    mean = F.avg("l_quantity").over(Window.partitionBy("l_partkey"))
-    return lines.withColumn("mean", mean).filter("l_quantity < 0.2D * mean").agg(cents(F.sum("l_extendedprice") / 7.0).alias("avg_yearly"))
+    # few quantities a part: sums a part and quantity are made before the shuffle, and the mean is over these
+    sums = lines.groupBy("l_partkey", "l_quantity").agg(F.sum("l_extendedprice").alias("price"), F.count("l_quantity").alias("n"))
+    mine = Window.partitionBy("l_partkey")
+    mean = F.sum(F.col("l_quantity") * F.col("n")).over(mine) / F.sum("n").over(mine)
+    return sums.withColumn("mean", mean).filter("l_quantity < 0.2D * mean").agg(cents(F.sum("price") / 7.0).alias("avg_yearly"))
 
 
 @query("""

@@ -26,7 +26,6 @@ def query(sql: str) -> Callable:
     return register
 
 
-def view(t: Tables, *names: str) -> None:
-    """Temp views for builders that are clearest as SQL."""
-    for name in names:
-        getattr(t, name).createOrReplaceTempView(name)
+def sql(t: Tables, text: str, *names: str) -> DataFrame:
+    """For builders that are clearest as SQL: ``{name}`` in ``text`` is the table; no view stays in the session."""
+    return t.spark.sql(text, **{name: getattr(t, name) for name in names})

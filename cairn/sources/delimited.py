@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -21,3 +22,9 @@ def read_pipe(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     raw = raw.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     # a cast raises on a bad value, as the reader's FAILFAST mode does, which rejects short rows too
     return raw.select(*[raw[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def write_pipe(df: DataFrame, path: str) -> None:
+    """Rows as ``read_pipe`` reads them: a delimiter after each field, NULL as nothing."""
+    field = lambda c: F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"))
+    df.select(F.concat(*[field(c) for c in df.columns]).alias("value")).write.text(path)

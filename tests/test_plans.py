@@ -18,7 +18,7 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     assert {c.split(":")[0] for c in schema.split(",")} == {"l_quantity", "l_extendedprice", "l_discount", "l_shipdate"}
 
 
-@pytest.mark.parametrize("name", ["q19", "q07", "q02", "q20", "q21", "exists_with_inequality"])
+@pytest.mark.parametrize("name", ["q19", "q05", "q07", "q08", "q02", "q20", "q21", "exists_with_inequality", "scalar_subquery_correlated"])
 def test_no_product(spark, small, name):
     text = plan(catalog.QUERIES[name](spark, small)).split("== Physical Plan ==")[1]
     assert "CartesianProduct" not in text

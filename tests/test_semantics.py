@@ -5,7 +5,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from cairn import catalog
 from cairn.functions import like_any_case, safe_divide, shift, substring, text_of, trim_space
+from cairn.operators.joins import not_in
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +85,17 @@ def test_column_helpers(spark):
     assert tuple(got[1]) == (day(1996, 3, 29), day(1997, 2, 28), day(1995, 12, 1), None, None, None, None, None)
     with pytest.raises(ValueError, match="start at 1"):
         substring(F.col("s"), 0)
+
+
+def test_not_in_with_nulls(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    sets = {"plain": [(1,)], "with null": [(1,), (None,)], "empty": []}
+    got = {name: sorted(str(r.k) for r in not_in(left, "k", spark.createDataFrame(rows, "v int"), "v").collect()) for name, rows in sets.items()}
+    assert got == {"plain": ["2"], "with null": [], "empty": ["1", "2", "None"]}
+
+
+def test_queries_leave_no_views(spark, small):
+    before = {t.name for t in spark.catalog.listTables()}
+    for name in ("not_in_subquery", "join_comma_list", "exists_uncorrelated", "sql_q03", "read_folder_of_tables"):
+        catalog.QUERIES[name](spark, small).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
