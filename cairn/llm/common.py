@@ -2,53 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 if TYPE_CHECKING:
     import pyarrow as pa
 
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
-
-    Only where the setting is absent and Spark runs inside this very process (``local[...]``, as
-    in tests) a temporary folder takes its place; on a cluster its absence is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="cairn-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return _LOCAL[0]
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme of the store in which Spark finds it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back, which cuts its lineage."""
     path = scratch(df.sparkSession, name)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from ..sources import scratch
+from .common import table
 from .language import identify, train_language
 from .lattice import link_vectors
 from .metric_tree import top_k

@@ -25,6 +25,8 @@ SEGMENT, PART = 10, 8
 #: A window of toxic text teaches the toxic dictionary if that of other toxic documents saves so many bytes.
 TEACHING = 3
 ROUNDS = 3
+#: Of thresholds whose log losses are so close the least is taken.
+CLOSE = 0.01
 #: Windows compressed in one call.
 AT_ONCE = 8192
 
@@ -136,7 +138,7 @@ def trained(samples: list[bytes], size: int) -> bytes:
     """Content of a dictionary that zstandard trains on ``samples``; too little text stands for itself."""
     if not samples:
         return b""
-    size = max(256, min(size, sum(map(len, samples)) // 8))
+    size = 256 + max(2048, min(size, sum(map(len, samples)) // 8))  # zstandard's own tables take some 200 bytes
     try:
         return zstandard.train_dictionary(size, samples, k=SEGMENT, d=PART, level=3).as_bytes()
     except zstandard.ZstdError:
@@ -274,7 +276,8 @@ def train_toxicity(
         counts = np.array([r["counts"] for r in rows])
         weight = np.where(y == 1, known[1] / took[1], known.get(0, 0) / max(took[0], 1))
         fits = {t: _fit(features(counts, t), y, weight / weight.mean()) for t in range(1, GAINS)}
-        model.threshold = min(fits, key=lambda t: (fits[t][1], t))
+        best = min(loss for _, loss in fits.values())
+        model.threshold = min(t for t, (_, loss) in fits.items() if loss <= best + CLOSE)  # few rows can't tell closer ones apart
         model.weights = fits[model.threshold][0].tolist()
     else:
         model.threshold, model.weights = 4, [-3.0, 3.0, 0.0, 0.0]

@@ -104,7 +104,7 @@ def test_null_query_flag(spark):
 
 def test_scores_beyond_a_long(spark):
     """They count as the ends of its range; the smaller key goes first among them."""
-    rows = [(i, [1e30, float(i)]) for i in range(30)] + [(100, [-1e30, 0.0]), (101, [1.0, 2.0]), (102, [3e38, 3e38])]
+    rows = [(i, [1e30, float(i)]) for i in range(30)] + [(100, [-1e30, 0.0]), (101, [0.0, 2.0]), (102, [3e38, 3e38])]
     df = spark.createDataFrame(rows, SCHEMA)
     got = found(top_k(df, F.col("vec_id").isin(0, 100), k=5))
     assert [r[2] for r in got if r[0] == 0] == [1, 2, 3, 4, 5]
