@@ -85,7 +85,8 @@ def train_language(docs: DataFrame, use: Column | None = None, key: str = "doc_i
     whole = 1 << 60
     share = F.least(F.lit(1.0), F.lit(max_rows / max(each, 1)) / F.col("n"))  # of the hash range
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(whole)) / F.lit(float(whole))
-    rows = rows.join(held.select(F.col("lang").alias("__lang"), share.alias("__share")), F.col("lang") == F.col("__lang"))
+    # a row a language, as the model has a table a language; else Spark may shuffle every text to a handful of keys
+    rows = rows.join(F.broadcast(held.select(F.col("lang").alias("__lang"), share.alias("__share"))), F.col("lang") == F.col("__lang"))
     small_batches(docs.sparkSession)
     grams = rows.filter(place < F.col("__share")).select("text", "lang").mapInArrow(_count, "lang string, gram long, n long")
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")

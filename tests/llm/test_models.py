@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cairn.llm import language
 from cairn.llm.language import ORDER, PAD, build, code_lengths, identify, train_language
 from cairn.llm.queries import fold, op8_compression_toxicity, op10_ppm_language
 from cairn.llm.toxicity import CARRIER, GAINS, SIZE, STEP, compressor, score_toxicity, train_toxicity, window_count, windows
@@ -119,6 +120,21 @@ def test_language_edges(spark):
     assert train_language(nulls).languages == ["fr"]
 
 
+def test_language_training_shuffles_no_text(spark, documents, monkeypatch):
+    """Shares by language come to the texts, also where Spark's own bound would not broadcast them."""
+    read = []
+    monkeypatch.setattr(language, "identify", lambda docs, *args, **named: read.append(docs) or identify(docs, *args, **named))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        model = train_language(documents.select("doc_id", "text", "lang"), fold(4) != 2)
+        text = read[-1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(model.languages) == 4
+    assert "BroadcastHashJoin" in text
+    assert "SortMergeJoin" not in text
+
+
 WORDS = "garden train window morning river stone bridge paper letter house light water road song table winter summer kitchen market street".split()
 
 
