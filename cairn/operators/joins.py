@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,28 @@ def join_left_theta(t: Tables) -> DataFrame:
     return t.region.join(t.nation, F.col("r_regionkey") > F.col("n_nationkey") + 2, "left").select("r_name", "n_name")
 
 
+_RUN = 7  # bits of the rows in one run of suppliers
+
+
+def _runs(suppliers: DataFrame) -> DataFrame:
+    """Suppliers of one nation with neighbouring balances, at most 2 ** _RUN to a row, however many share a balance."""
+    order = ["s_nationkey", "s_acctbal", "s_suppkey"]
+    known = suppliers.select(*order).filter("s_nationkey IS NOT NULL AND s_acctbal IS NOT NULL")  # NULL compares with nothing
+    placed = known.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("run", F.shiftright(F.monotonically_increasing_id(), _RUN))
+    runs = placed.groupBy("s_nationkey", "run").agg(F.min("s_acctbal").alias("least"), F.max("s_acctbal").alias("most"), F.collect_list(F.struct("s_suppkey", "s_acctbal")).alias("own"))
+    return runs.select("s_nationkey", "least", "most", F.col("own.s_suppkey").alias("keys"), F.col("own.s_acctbal").alias("balances"))
+
+
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal > c_acctbal AND s_nationkey <> c_nationkey")
 def join_theta_without_equality(t: Tables) -> DataFrame:
-    return t.supplier.join(t.customer, (F.col("s_acctbal") > F.col("c_acctbal")) & (F.col("s_nationkey") != F.col("c_nationkey"))).select("s_suppkey", "c_custkey")
+    # the result is about half the product, far larger than its inputs, so both sides are dealt by number and not by bytes, to a grid
+    # of about as many tasks as a shuffle has; customers meet runs of suppliers, few of which need a look at single balances
+    side = math.ceil(math.sqrt(int(t.spark.conf.get("spark.sql.shuffle.partitions"))))
+    customers = t.customer.select("c_custkey", "c_nationkey", "c_acctbal").repartition(side)
+    above = (F.col("most") > F.col("c_acctbal")) & (F.col("s_nationkey") != F.col("c_nationkey"))
+    met = customers.hint("shuffle_replicate_nl").join(_runs(t.supplier).repartition(side), above)
+    pairs = met.select("c_custkey", "c_acctbal", "least", "balances", F.posexplode("keys").alias("at", "s_suppkey"))
+    return pairs.filter((F.col("least") > F.col("c_acctbal")) | (F.col("balances")[F.col("at")] > F.col("c_acctbal"))).select("s_suppkey", "c_custkey")
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")

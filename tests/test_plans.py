@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn import catalog
 
@@ -38,3 +39,19 @@ def test_one_scan_of_the_fact_table(spark, small):
     for name in ("q17", "q18", "q21", "q02", "q09", "q20"):
         text = plan(catalog.QUERIES[name](spark, small)).split("== Physical Plan ==")[1]
         assert len(re.findall(r"FileScan parquet \[[^]]*l_orderkey|FileScan parquet \[[^]]*l_partkey", text)) == 1, name
+
+
+@pytest.mark.parametrize("bound", ["10m", "256k", "-1"])
+def test_theta_join_is_dealt_over_tasks(spark, medium, bound):
+    """Its result grows with the product of two small files, each of which is a single task's input."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    try:
+        df = catalog.QUERIES["join_theta_without_equality"](spark, medium)
+        text = plan(df).split("== Physical Plan ==")[1]
+        tasks = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(tasks) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert df.rdd.getNumPartitions() <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(tasks) <= sum(tasks) / 2
+    assert "Broadcast" not in text

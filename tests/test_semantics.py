@@ -1,12 +1,17 @@
 """Edges of SQL semantics on hand-made rows: NULLs, joins, intervals, strings, division."""
 
 import datetime
+import math
+import random
+from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairn import catalog
 from cairn.functions import like_any_case, safe_divide, shift, substring, text_of, trim_space
+from cairn.operators import joins
 from cairn.operators.joins import not_in
 
 
@@ -99,3 +104,21 @@ def test_queries_leave_no_views(spark, small):
     for name in ("not_in_subquery", "join_comma_list", "exists_uncorrelated", "sql_q03", "read_folder_of_tables"):
         catalog.QUERIES[name](spark, small).count()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_theta_join_without_equality(spark):
+    """NULLs, ties, repeated rows, NaN (above all numbers) and infinities against each pair by itself; no run is longer than its bound."""
+    rng = random.Random(5)
+    balances = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, *[float(i) for i in range(9)]]
+    some = lambda n: [(rng.choice([None, *range(n)]), rng.choice([None, 1, 2, 3]), rng.choice(balances)) for _ in range(n)]
+    left, right = some(300) + [(i, 1, 5.0) for i in range(1000)], some(60)
+    t = SimpleNamespace(spark=spark, supplier=spark.createDataFrame(left, "s_suppkey long, s_nationkey int, s_acctbal double"), customer=spark.createDataFrame(right, "c_custkey long, c_nationkey int, c_acctbal double"))
+    above = lambda a, b: a is not None and b is not None and (a > b or (math.isnan(a) and not math.isnan(b)))
+    wanted = Counter((s, c) for s, sn, sb in left for c, cn, cb in right if above(sb, cb) and None not in (sn, cn) and sn != cn)
+    got = joins.join_theta_without_equality(t)
+    assert got.columns == ["s_suppkey", "c_custkey"]
+    assert Counter(map(tuple, got.collect())) == wanted
+    sizes = [r["n"] for r in joins._runs(t.supplier).select(F.size("keys").alias("n")).collect()]
+    assert max(sizes) <= 128 and sum(sizes) == sum(None not in r[1:] for r in left)
+    for none in ({"supplier": t.supplier.limit(0)}, {"customer": t.customer.limit(0)}):
+        assert joins.join_theta_without_equality(SimpleNamespace(**(vars(t) | none))).count() == 0
