@@ -51,14 +51,20 @@ def _runs(suppliers: DataFrame) -> DataFrame:
     return runs.select("s_nationkey", "least", "most", F.col("own.s_suppkey").alias("keys"), F.col("own.s_acctbal").alias("balances"))
 
 
+def _dealt(rows: DataFrame, least: int) -> int:
+    """Of how many parts, ``least`` or more, each has 2 ** 16 rows at most: Parquet's dictionary of a key column holds twice as many."""
+    return max(least, math.ceil(rows.count() / (1 << 16)))
+
+
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal > c_acctbal AND s_nationkey <> c_nationkey")
 def join_theta_without_equality(t: Tables) -> DataFrame:
     # the result is about half the product, far larger than its inputs, so both sides are dealt by number and not by bytes, to a grid
-    # of about as many tasks as a shuffle has; customers meet runs of suppliers, few of which need a look at single balances
+    # of about as many tasks as a shuffle has; runs of suppliers meet customers, few of which need a look at single balances
     side = math.ceil(math.sqrt(int(t.spark.conf.get("spark.sql.shuffle.partitions"))))
-    customers = t.customer.select("c_custkey", "c_nationkey", "c_acctbal").repartition(side)
+    # a run meets customers by balance: those below it, each of which gives the same suppliers, then those within it; so the rows repeat and Parquet packs them
+    customers = t.customer.select("c_custkey", "c_nationkey", "c_acctbal").repartition(_dealt(t.customer, side)).sortWithinPartitions("c_acctbal")
     above = (F.col("most") > F.col("c_acctbal")) & (F.col("s_nationkey") != F.col("c_nationkey"))
-    met = customers.hint("shuffle_replicate_nl").join(_runs(t.supplier).repartition(side), above)
+    met = _runs(t.supplier).repartition(_dealt(t.supplier, side)).hint("shuffle_replicate_nl").join(customers, above)
     pairs = met.select("c_custkey", "c_acctbal", "least", "balances", F.posexplode("keys").alias("at", "s_suppkey"))
     return pairs.filter((F.col("least") > F.col("c_acctbal")) | (F.col("balances")[F.col("at")] > F.col("c_acctbal"))).select("s_suppkey", "c_custkey")
 
