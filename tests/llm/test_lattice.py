@@ -2,10 +2,15 @@
 
 import itertools
 
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm.lattice import ROOTS, decode, link_vectors
+from cairn.llm.lattice import ROOTS, Sketch, decode, link_vectors, meetings, partnered
+from cairn.sources.scratch import shared_dir
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -101,3 +106,52 @@ def test_all_pairs_of_small_angles(spark):
 def test_zeros_of_either_sign_are_equal(spark):
     rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [-0.0, -1.0])]
     assert rows_of(link_vectors(spark.createDataFrame(rows, SCHEMA))) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_disk_follows_the_table(spark, tmp_path):
+    """What stays in the shared folder and among Spark's shuffle files, once candidates are found, is less than twice the input."""
+    x = np.random.default_rng(6).normal(0, 1, (12_000, 64)).astype(np.float32)
+    x[:50] = x[50:100] * 1.5
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).write.parquet(str(tmp_path / "in"))
+    size = lambda top: sum(f.stat().st_size for f in Path(top).rglob("*") if f.is_file())
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    places, was = (shared_dir(spark), spark.sparkContext.getConf().get("spark.local.dir")), spark.conf.get(conf, None)
+    before = sum(map(size, places))
+    got = link_vectors(spark.read.parquet(str(tmp_path / "in")))
+    assert sum(map(size, places)) - before < 2 * size(tmp_path / "in")
+    assert spark.conf.get(conf, None) == was
+    assert got.filter("n_links = 1").count() == 100
+
+
+def brute_partners(key, bits, most):
+    far = np.array([[bin(int.from_bytes((a ^ b).tobytes(), "little")).count("1") for b in bits] for a in bits])
+    return ((key[:, None] == key) & (far <= most) & ~np.eye(len(key), dtype=bool)).any(1)
+
+
+@pytest.mark.parametrize(("keys", "crowd"), [(300, 256), (40, 256), (4, 16), (1, 16)])
+def test_partners(keys, crowd):
+    rng = np.random.default_rng(7)
+    key = np.sort(rng.integers(-keys, keys, 300))
+    unit = rng.normal(0, 1, (300, 64))
+    unit[100:200] = unit[:100] + rng.normal(0, 0.3, (100, 64))
+    sketch = Sketch(64, 0.9)
+    bits = sketch.bits(unit[rng.permutation(300)])
+    wanted = brute_partners(key, bits, sketch.most)
+    assert (partnered(key, bits, sketch.most, crowd) == wanted).all()
+    columns = [key, np.arange(300), *bits.T]
+    names = ["key", "id", "s0", "s1", "s2", "s3"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 7]) for c in columns], names=names) for a in range(0, 300, 7)]
+    got = [tuple(r.values()) for b in meetings(iter(batches), sketch.most, rows=10) for r in b.to_pylist()]
+    assert sorted(got) == [(i, key[i]) for i in np.flatnonzero(wanted)]
+    sizes = dict(zip(*np.unique(key, return_counts=True), strict=True))
+    got = {r["id"] for b in meetings(iter(batches), sketch.most, rows=10, hot=20) for r in b.to_pylist()}
+    assert {i for i in range(300) if wanted[i] or sizes[key[i]] > 50} <= got <= {i for i in range(300) if wanted[i] or sizes[key[i]] > 20}
+
+
+def test_sketch_keeps_pairs_of_the_threshold():
+    rng = np.random.default_rng(8)
+    for threshold, dim in ((0.9, 64), (0.9, 8), (0.5, 64), (-1, 8), (1, 8)):
+        a, b = np.linalg.qr(rng.normal(0, 1, (2000, dim, 2)))[0].transpose(2, 0, 1)
+        b = threshold * a + np.sqrt(1 - threshold**2) * b
+        sketch = Sketch(dim, threshold)
+        assert (np.bitwise_count((sketch.bits(a) ^ sketch.bits(b)).view(np.uint64)).sum(1) <= sketch.most).all()
