@@ -145,8 +145,8 @@ def link_vectors(
     at cosine 0.9 the defaults find 97 of 100 pairs of independent direction, at 0.95 all but a
     few of ten thousand, with 84 keys a vector; of unlike pairs in 64 dimensions 6 in 100,000
     share a cell. Such pairs grow with the square of the table; they are compared by sketches where
-    they meet, a few nanoseconds each, and only vectors whose sketches are near go on to be verified
-    by cosine in double precision, block by block. Tables are hashed one after another, so cell keys
+    they meet, and only vectors whose sketches are near go on to be verified by cosine in double
+    precision, block by block. Tables are hashed one after another, so cell keys
     of one table at a time are on disk.
     Equal vectors are hashed and verified once, and count with their number. While it runs, the
     session frees shuffle files as soon as a query ends.
